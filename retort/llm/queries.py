@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import dedup, overlap, splits
+from retort.llm import dedup, leaks, mixing, overlap, spam, splits, variety
 from retort.sources.tables import table
 
 
@@ -56,5 +56,53 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return _p5(spark, d).filter("id <=> keep_id").select("keep_id", "copies")
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_kept": p5_kept}
+def p3_subset(spark: SparkSession, d: str) -> DataFrame:
+    """The varied subset of every row of subset_plan, in the order chosen."""
+    chosen = variety.varied_subsets(variety.candidates(table(spark, d, "smiles")), table(spark, d, "subset_plan"))
+    return chosen.select("plan_id", "place", F.col("id").alias("mol_id"))
+
+
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 13 consecutive words of an item."""
+    return _p6(spark, d).filter("verbatim > 0").select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the windows of an item they hold, as they are or with other numbers, names or units."""
+    return _p6(spark, d)
+
+
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = mixing.read_targets(table(spark, d, "mix_targets"))
+    return mixing.mix(mixing.counted(table(spark, d, "documents"), targets), targets)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every copy of every document drawn."""
+    return _p7(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of the sources."""
+    return _p7(spark, d)[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents most of whose words stand in link lists, tag lists or menus."""
+    return spam.stuffed(spam.page_labels(table(spark, d, "documents"))).select("doc_id")
+
+
+def p8_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Words of every document by the label of their line."""
+    return spam.page_labels(table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_splits, p3_subset, p4_found, p4_classes, p5_found, p5_kept, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_pages)
+}
 SQL: dict[str, str] = {}
