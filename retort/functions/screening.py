@@ -80,12 +80,12 @@ def metrics_by_group(df: DataFrame, group: list[str], score: str, label: str, ti
         {
             "_before": F.coalesce(F.sum("_n").over(w), F.lit(0)),
             "_actives_before": F.coalesce(F.sum("_a").over(w), F.lit(0)),
-            "_N": F.sum("_n").over(every),
-            "_A": F.sum("_a").over(every),
+            "_all": F.sum("_n").over(every),
+            "_pos": F.sum("_a").over(every),
         }
     )
-    n, a = F.col("_N").cast("double"), F.col("_A").cast("double")
-    top = F.least(F.greatest(F.floor(F.lit(fraction) * n + 0.5), F.lit(1)), F.col("_N"))
+    n, a = F.col("_all").cast("double"), F.col("_pos").cast("double")
+    top = F.least(F.greatest(F.floor(F.lit(fraction) * n + 0.5), F.lit(1)), F.col("_all"))
     # Inactives after an active: all that aren't before it nor tied with it, and half of those tied.
     by = by.withColumn("_wins", F.col("_a") * (n - a - (F.col("_before") - F.col("_actives_before")) - (F.col("_n") - F.col("_a")) * 0.5)).withColumn("_top", top)
     whole = F.col("_before") + F.col("_n") <= F.col("_top")
@@ -95,19 +95,20 @@ def metrics_by_group(df: DataFrame, group: list[str], score: str, label: str, ti
     even = F.pow(q, F.col("_before") + 1) * (1 - F.pow(q, F.col("_n").cast("double"))) / (1 - q)
     settled = by.withColumn("_hit", F.when(whole, F.col("_a")).when(F.col("_before") >= F.col("_top"), 0).when(single, F.least(F.col("_a"), F.col("_top") - F.col("_before"))))
     settled = settled.withColumn("_e", F.when(F.col("_a") == 0, 0.0).when(single, even))
-    open_ties = settled.filter((F.col("_a") > 0) & ~single).select(*group, "_s", "_before", "_top", "_N", F.col("_n").alias("_held"))
-    match = [rows[g].eqNullSafe(open_ties[g]) for g in group] + [rows["_s"] == open_ties["_s"]]
-    tied = rows.join(open_ties, match).select(*[rows[g] for g in group], rows["_s"], rows["_l"], *[rows[t] for t in tie], "_before", "_top", "_N")
-    place = F.row_number().over(W.partitionBy(*group, "_s").orderBy(*tie)) + F.col("_before")
-    tied = tied.withColumn("_place", place).filter("_l").withColumn("_e", F.exp(F.lit(-alpha) * F.col("_place") / F.col("_N")))
-    tied = tied.groupBy(*group).agg(F.sum("_e").alias("_tied_e"), F.count_if((F.col("_place") <= F.col("_top")) & (F.col("_before") + 0 < F.col("_top"))).alias("_tied_hit_all"))
+    # The other sides of the two joins get names of their own, so that nothing is ambiguous.
+    named = [f"_g{k}" for k in range(len(group))]
+    open_ties = settled.filter((F.col("_a") > 0) & ~single).select(*[F.col(g).alias(m) for g, m in zip(group, named, strict=True)], F.col("_s").alias("_ts"), "_before", "_top", "_all", F.col("_hit").isNull().alias("_hits_open"))
+    match = [F.col(g).eqNullSafe(F.col(m)) for g, m in zip(group, named, strict=True)]
+    tied = rows.join(open_ties, [*match, F.col("_s") == F.col("_ts")])
+    place = F.row_number().over(W.partitionBy(*named, "_ts").orderBy(*tie)) + F.col("_before")
+    tied = tied.withColumn("_place", place).filter("_l").withColumn("_e", F.exp(F.lit(-alpha) * F.col("_place") / F.col("_all")))
+    tied = tied.groupBy(*named).agg(F.sum("_e").alias("_tied_e"), F.count_if((F.col("_place") <= F.col("_top")) & (F.col("_before") < F.col("_top")) & (F.col("_hits_open"))).alias("_tied_hits"))
     settled = settled.withColumn("_open", (F.col("_a") > 0) & ~single)
     out = settled.groupBy(*group).agg(
-        F.max("_N").alias("n"), F.max("_A").alias("actives"), F.sum("_wins").alias("_w"), F.sum(F.when(~F.col("_open"), F.col("_hit"))).alias("_h"),
+        F.max("_all").alias("n"), F.max("_pos").alias("actives"), F.sum("_wins").alias("_w"), F.sum("_hit").alias("_h"),
         F.sum(F.when(~F.col("_open"), F.col("_e"))).alias("_e"), F.max("_top").alias("_top"),
     )
-    match = [out[g].eqNullSafe(tied[g]) for g in group]
-    joined = out.join(tied, match, "left").select(*[out[g] for g in group], "n", "actives", "_w", "_top", (F.coalesce("_h", F.lit(0)) + F.coalesce("_tied_hit_all", F.lit(0))).alias("_h"), (F.coalesce(out["_e"], F.lit(0.0)) + F.coalesce("_tied_e", F.lit(0.0))).alias("_e"))
+    joined = out.join(tied, match, "left").withColumn("_h", F.coalesce("_h", F.lit(0)) + F.coalesce("_tied_hits", F.lit(0))).withColumn("_e", F.coalesce("_e", F.lit(0.0)) + F.coalesce("_tied_e", F.lit(0.0)))
     n, a = F.col("n").cast("double"), F.col("actives").cast("double")
     two = (a > 0) & (a < n)
     return joined.select(

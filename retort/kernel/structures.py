@@ -221,67 +221,106 @@ def mol_hash(mol: Molecule, method: str | None) -> str | None:
 # --- maximum common substructure ---------------------------------------------------------------------------------------------------------------------
 
 #: Search steps after which a pair is given up (its result is then null); the search is exponential in the worst case.
-SEARCH_STEPS = 200_000
+SEARCH_STEPS = 50_000
 
 
 def common_pairs(a: Molecule, b: Molecule, steps: int = SEARCH_STEPS) -> list[tuple[int, int]] | None:
     """Atom pairs of the largest connected common substructure, by atoms of the smaller molecule; None if the search takes too long.
 
     Atoms pair if element, aromaticity and charge agree, bonds if their orders do or one is aromatic and the other single. Bonds of the smaller molecule
-    must have their partner. Of equally large results the first in order of atoms counts. A branch is left where even all atoms still in reach could not
-    beat the best.
+    must have their partner. Of equally large results the first in order of atoms counts.
+
+    Branch and bound: the lowest undecided atom at the edge of the mapped part is given each partner it can have, then left out for good. A branch ends where the atoms
+    still to be had, kind by kind, can't beat the best, or can only equal it with pairs that come later.
     """
     swap = heavy_atoms(a) > heavy_atoms(b)
     small, large = (b, a) if swap else (a, b)
     kind = lambda m, i: (m.sym[i], m.arom[i], m.chg[i])
-    same: dict = {}
+    free: dict = {}
     for j in range(len(large)):
         if large.sym[j] != "H":
-            same.setdefault(kind(large, j), []).append(j)
-    options = [same.get(kind(small, i), []) if small.sym[i] != "H" else [] for i in range(len(small))]
-    order = {}
+            free.setdefault(kind(large, j), []).append(j)
+    kinds = [kind(small, i) if small.sym[i] != "H" and kind(small, i) in free else None for i in range(len(small))]
+    order: dict[tuple[int, int], int] = {}
     for u, v, o in large.bonds:
         order.setdefault((u, v), o)
         order.setdefault((v, u), o)
-
-    def agrees(x: int, y: int | None) -> bool:
-        return x == y or {x, y} == {AROMATIC, SINGLE}
-
+    left = {k: len(v) for k, v in free.items()}
     best: list[tuple[int, int]] = []
-    seen: set[frozenset] = set()
+    mapping: dict[int, int] = {}
+    used: set[int] = set()
+    out: set[int] = set()
     spent = 0
-    reach = {}
-    for part in small.components():
-        usable = sum(bool(options[i]) for i in part)
-        reach |= dict.fromkeys(part, usable)
-
-    def fits(mapping: dict[int, int], i: int, j: int) -> bool:
-        return all(agrees(small.bonds[k][2], order.get((j, mapping[v]))) for v, k in small.adj[i] if v in mapping)
-
-    # Depth-first over sets of pairs; each set is entered once, however it was reached.
-    for i in range(len(small)):
-        for j in options[i]:
-            if reach[i] < len(best):
-                continue
-            stack = [{i: j}]
-            while stack:
-                mapping = stack.pop()
-                key = frozenset(mapping.items())
-                if key in seen:
-                    continue
-                seen.add(key)
-                spent += 1
-                if spent > steps:
-                    return None
-                pairs = sorted(mapping.items())
-                if len(pairs) > len(best) or (len(pairs) == len(best) and pairs < best):
-                    best = pairs
-                used = set(mapping.values())
-                edge = sorted({v for u in mapping for v, _ in small.adj[u] if v not in mapping and options[v]}, reverse=True)
-                for v in edge:
-                    for w in reversed(options[v]):
-                        if w not in used and fits(mapping, v, w):
-                            stack.append(mapping | {v: w})
+
+    class Spent(Exception):
+        pass
+
+    def partners(i: int) -> list[int]:
+        bonds = [(mapping[v], small.bonds[k][2]) for v, k in small.adj[i] if v in mapping]
+        return [j for j in free[kinds[i]] if j not in used and all((x := order.get((j, m))) == o or {x, o} == {AROMATIC, SINGLE} for m, o in bonds)]
+
+    def later() -> bool:
+        """Whether what is decided so far comes after the best in order of atoms."""
+        for i, j in best:
+            if i in mapping:
+                if mapping[i] != j:
+                    return mapping[i] > j
+            else:
+                return i in out
+        return False
+
+    def grow(members: list[int], open_: dict) -> None:
+        nonlocal best, spent
+        spent += 1
+        if spent > steps:
+            raise Spent
+        pairs = sorted(mapping.items())
+        if len(pairs) > len(best) or (len(pairs) == len(best) and pairs < best):
+            best = pairs
+        dropped = []
+        while True:
+            most = len(mapping) + sum(min(n, left[k]) for k, n in open_.items())
+            if most < len(best) or (most == len(best) and later()):
+                break
+            edge = [v for u in mapping for v, _ in small.adj[u] if v not in mapping and v not in out and kinds[v] is not None]
+            if not edge:
+                break
+            i = min(edge)
+            k = kinds[i]
+            open_[k] -= 1
+            left[k] -= 1
+            for j in partners(i):
+                mapping[i] = j
+                used.add(j)
+                grow(members, open_)
+                used.discard(j)
+                del mapping[i]
+            left[k] += 1
+            out.add(i)
+            dropped.append(i)
+        for i in dropped:
+            out.discard(i)
+            open_[kinds[i]] += 1
+
+    try:
+        for part in small.components():
+            members = [i for i in part if kinds[i] is not None]
+            for n, s in enumerate(members):
+                out.clear()
+                out.update(members[:n])
+                open_: dict = {}
+                for i in members[n + 1 :]:
+                    open_[kinds[i]] = open_.get(kinds[i], 0) + 1
+                left[kinds[s]] -= 1
+                for j in free[kinds[s]]:
+                    mapping[s] = j
+                    used.add(j)
+                    grow(members, open_)
+                    used.discard(j)
+                    del mapping[s]
+                left[kinds[s]] += 1
+    except (Spent, RecursionError):
+        return None
     return sorted(((y, x) for x, y in best), key=lambda p: p[1]) if swap else best
 
 
