@@ -25,6 +25,7 @@ from retort.kernel import structures as S
 from retort.kernel.jsontext import dumps
 from retort.kernel.morgan import morgan_bits
 from retort.kernel.report import admet_json
+from retort.session import spread
 from retort.kernel.writer import canonical_smiles, verbose_smiles, with_hydrogens
 
 #: Molecules a worker remembers.
@@ -234,6 +235,6 @@ def profile(df: DataFrame, text_col: str, fields: list[str], distinct: bool = Fa
     make = _profile_udf(tuple(fields))
     picked = [F.when(F.col(text_col).isNotNull(), F.col("_profile.valid")).alias("valid"), *[F.col(f"_profile.{f}").alias(f) for f in fields]]
     if not distinct:
-        return df.select(*keep, make(F.col(text_col)).alias("_profile")).select(*keep, *picked)
-    texts = df.select(F.col(text_col).alias("_text")).filter("_text is not null").distinct().select("_text", make(F.col("_text")).alias("_profile"))
+        return spread(df).select(*keep, make(F.col(text_col)).alias("_profile")).select(*keep, *picked)
+    texts = spread(df.select(F.col(text_col).alias("_text")).filter("_text is not null").distinct()).select("_text", make(F.col("_text")).alias("_profile"))
     return df.select(*keep).join(texts, F.col(text_col) == F.col("_text"), "left").select(*keep, *picked)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-NAN = F.lit(float("nan"))
+NAN = float("nan")
 
 
 def _ranked(scores: Column, labels: Column) -> Column:
@@ -32,7 +32,7 @@ def roc_auc(scores: Column, labels: Column) -> Column:
         F.lit(0.0),
         lambda acc, a: acc + F.when(a["l"], F.aggregate(F.arrays_zip(scores.alias("s"), labels.alias("l")), F.lit(0.0), lambda t, b: t + F.when(b["l"], 0.0).when(b["s"] > a["s"], 1.0).when(b["s"] == a["s"], 0.5).otherwise(0.0))).otherwise(0.0),
     )
-    return F.when(_usable(scores, labels), F.when((pos == 0) | (pos == n), NAN).otherwise(below / (pos * (n - pos))))
+    return F.when(_usable(scores, labels), F.when((pos == 0) | (pos == n), F.lit(NAN)).otherwise(below / (pos * (n - pos))))
 
 
 def enrichment_factor(scores: Column, labels: Column, fraction: Column) -> Column:
@@ -41,7 +41,7 @@ def enrichment_factor(scores: Column, labels: Column, fraction: Column) -> Colum
     top = F.least(F.greatest(F.floor(fraction * n + 0.5), F.lit(1)), F.size(scores)).cast("int")
     hits = F.size(F.filter(F.slice(_ranked(scores, labels), F.lit(1), top), lambda r: r["label"])).cast("double")
     good = (fraction > 0) & (fraction <= 1) & (pos > 0)
-    return F.when(_usable(scores, labels) & fraction.isNotNull(), F.when(good, (hits / top) / (pos / n)).otherwise(NAN))
+    return F.when(_usable(scores, labels) & fraction.isNotNull(), F.when(good, (hits / top) / (pos / n)).otherwise(F.lit(NAN)))
 
 
 def _bedroc_of(total: Column, n: Column, pos: Column, alpha: Column) -> Column:
@@ -58,7 +58,7 @@ def bedroc(scores: Column, labels: Column, alpha: Column) -> Column:
     ranked = F.transform(_ranked(scores, labels), lambda r, i: F.when(r["label"], F.exp(-alpha * (i + 1) / n)).otherwise(0.0))
     total = F.aggregate(ranked, F.lit(0.0), lambda acc, x: acc + x)
     good = (alpha > 0) & (pos > 0) & (pos < n)
-    return F.when(_usable(scores, labels) & alpha.isNotNull(), F.when(good, _bedroc_of(total, n, pos, alpha)).otherwise(NAN))
+    return F.when(_usable(scores, labels) & alpha.isNotNull(), F.when(good, _bedroc_of(total, n, pos, alpha)).otherwise(F.lit(NAN)))
 
 
 def metrics_by_group(df: DataFrame, group: list[str], score: str, label: str, tie: list[str], fraction: float = 0.1, alpha: float = 20.0) -> DataFrame:

@@ -37,6 +37,10 @@ class View:
             out.setdefault(key, []).append(i)
         return out
 
+    @cached_property
+    def kind_set(self):
+        return frozenset(self.kinds)
+
     @cached_property
     def hydrogens(self):
         return [max(0, h) + sum(self.sym[v] == "H" for v, _ in row) for h, row in zip(self.mol.hyd, self.adj, strict=True)]
@@ -296,7 +300,7 @@ class _Reader:
         def test(v: View, i: int) -> bool:
             key = (inner, i)
             if key not in v.memo:
-                v.memo[key] = next(inner.placed(v, i), None) is not None
+                v.memo[key] = inner.matches_at(v, i)
             return v.memo[key]
 
         return Atom(test, lambda s, a: False if head.may(s, a) is False else None)
@@ -358,11 +362,17 @@ class Pattern:
         self.atoms = atoms
         # Per atom but the first: the placed atom it hangs on with the bond to it, and further bonds to placed atoms.
         self.plan: list[tuple[int, tuple[bool, ...], list[tuple[int, tuple[bool, ...]]]] | None] = [None]
+        # A cycle of the pattern can only lie on a cycle of the molecule, so its bonds must be ring bonds.
+        graph = Molecule()
+        for _ in atoms:
+            graph.add_atom("*")
+        graph.bonds = [[a, b, SINGLE] for a, b, _ in bonds]
+        tables = [tuple(ok and (x & 1 or not cyclic) for x, ok in enumerate(_bond_table(s))) for (_, _, s), cyclic in zip(bonds, graph.ring_bonds, strict=True)]
         for i in range(1, len(atoms)):
-            back = [(a + b - i, _bond_table(s)) for a, b, s in bonds if max(a, b) == i and a != b]
+            back = [(a + b - i, t) for (a, b, _), t in zip(bonds, tables, strict=True) if max(a, b) == i and a != b]
             self.plan.append((*back[0], back[1:]) if back else None)
         self.connected = all(self.plan[1:]) and all(a != b for a, b, _ in bonds)
-        self.starts: dict[tuple[str, bool], bool] = {}
+        self.able: dict[frozenset, bool] = {}
         self.where: list[dict[tuple[str, bool], bool]] = [{} for _ in atoms]
 
     def may_be(self, k: int, kind: tuple[str, bool]) -> bool:
@@ -373,8 +383,12 @@ class Pattern:
 
     def possible(self, view: View) -> bool:
         """Whether every pattern atom has some atom in the molecule of a kind it may be."""
-        kinds = view.kinds
-        return self.connected and all(any(self.may_be(k, kind) for kind in kinds) for k in range(len(self.atoms)))
+        kinds = view.kind_set
+        if kinds not in self.able:
+            if len(self.able) > 4096:
+                self.able.clear()
+            self.able[kinds] = self.connected and all(any(self.may_be(k, kind) for kind in kinds) for k in range(len(self.atoms)))
+        return self.able[kinds]
 
     def placed(self, view: View, start: int) -> Iterator[tuple[int, ...]]:
         """Embeddings with atom 0 at ``start``, as atom tuples."""
@@ -408,7 +422,34 @@ class Pattern:
         yield from extend(1)
 
     def matches_at(self, view: View, start: int) -> bool:
-        return next(self.placed(view, start), None) is not None
+        """Whether there is an embedding with atom 0 at ``start``."""
+        if not self.connected or not self.atoms[0].test(view, start):
+            return False
+        if len(self.atoms) == 1:
+            return True
+        adj, orders, atoms, plan, n, ring = view.adj, view.orders, self.atoms, self.plan, len(self.atoms), view.mol.ring_bonds
+        spot = [start]
+
+        def fits(k: int) -> bool:
+            anchor, allowed, others = plan[k]
+            test = atoms[k].test
+            for v, b in adj[spot[anchor]]:
+                if v in spot or not allowed[2 * orders[b] + ring[b]] or not test(view, v):
+                    continue
+                for other, table in others:
+                    bond = next((x for u, x in adj[v] if u == spot[other]), None)
+                    if bond is None or not table[2 * orders[bond] + ring[bond]]:
+                        break
+                else:
+                    if k + 1 == n:
+                        return True
+                    spot.append(v)
+                    if fits(k + 1):
+                        return True
+                    spot.pop()
+            return False
+
+        return fits(1)
 
     def anchors(self, view: View) -> Iterator[int]:
         for kind, atoms in view.kinds.items():

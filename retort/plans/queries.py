@@ -6,7 +6,7 @@ made from table columns, whose every property plain SQL can state; ``r_`` are re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from retort.functions import similarity as S
 from retort.functions.registry import python_functions
 from retort.operators import records
 from retort.plans import workflows
+from retort.session import spread
 from retort.sources.tables import table
 from retort.streaming import streams
 
@@ -101,7 +102,7 @@ def mol_hashes(spark: SparkSession, d: str) -> DataFrame:
     """All hash methods of every row."""
     from retort.kernel.structures import HASH_METHODS
 
-    rows = table(spark, d, "smiles")
+    rows = spread(table(spark, d, "smiles").select("mol_id", "smiles"))
     return rows.select("mol_id", M.hash_methods().alias("methods"), *[M.call("mol_hash", F.col("smiles"), F.lit(m)).alias(m) for m in HASH_METHODS])
 
 
@@ -112,7 +113,7 @@ SCREEN = {"carboxylic_acid": "C(=O)[OX2H1]", "nitrile": "C#N", "nitro": "[NX3+](
 @query()
 def w_screen(spark: SparkSession, d: str) -> DataFrame:
     """Which named patterns every row has, how often, and the mappings of one."""
-    rows = workflows.screen(table(spark, d, "smiles").select("mol_id", "smiles"), "smiles", SCREEN)
+    rows = workflows.screen(spread(table(spark, d, "smiles").select("mol_id", "smiles")), "smiles", SCREEN)
     hit = M.call("mol_has_substructure", F.col("smiles"), F.lit("c1ccccc1")).alias("benzene")
     maps = M.call("mol_substructure_matches_json", F.col("smiles"), F.lit("C#N")).alias("nitriles")
     names = F.array_join(F.transform(F.array_sort(F.map_entries("hits")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
@@ -139,14 +140,14 @@ def mol_mcs(spark: SparkSession, d: str) -> DataFrame:
     """Common substructures of records that appear in both molecule tables under one name."""
     a = table(spark, d, "selfies").select("name", F.col("mol_id").alias("a"), F.col("smiles").alias("x"))
     b = table(spark, d, "smiles").groupBy("name").agg(F.min_by(F.struct(F.col("mol_id").alias("b"), F.col("smiles").alias("y")), "mol_id").alias("r"))
-    both = a.join(b, "name").select("a", "r.b", "x", "r.y")
+    both = spread(a.join(b, "name").select("a", "r.b", "x", "r.y"))
     return both.select("a", "b", M.call("mcs_smarts", "x", "y").alias("mcs_smarts"), M.call("mcs_json", "x", "y").alias("mcs_json"))
 
 
 @query()
 def mol_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """Both fingerprints of every row, and a longer one."""
-    rows = table(spark, d, "smiles")
+    rows = spread(table(spark, d, "smiles").select("mol_id", "smiles"))
     longer = M.call("morgan_fp", F.col("smiles"), F.lit(3), F.lit(4096)).alias("morgan_3_4096")
     return rows.select("mol_id", M.call("morgan_fp_bits", "smiles").alias("morgan_2_2048"), longer, M.call("maccs_keys", "smiles").alias("maccs"))
 
@@ -282,11 +283,11 @@ def inchi_skeleton_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 # --- closed-form families ----------------------------------------------------------------------------------------------------------------------------
 
-_ALKANOL = F.concat(F.expr("repeat('C', p_size)"), F.lit("O"))
+_ALKANOL = "concat(repeat('C', p_size), 'O')"
 
 
-def _parts(spark: SparkSession, d: str, text: Column) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", "p_size", text.alias("smiles"))
+def _parts(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", "p_size", F.expr(text).alias("smiles"))
 
 
 @query(
@@ -325,7 +326,7 @@ _D_RINGS = {
     "num_saturated_carbocycles": "CASE WHEN p_partkey % 4 = 1 THEN 1 ELSE 0 END", "num_aliphatic_heterocycles": "CASE WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END",
     "num_aliphatic_carbocycles": "CASE WHEN p_partkey % 4 = 1 THEN 1 ELSE 0 END",
 }
-_RINGED = F.expr("concat(element_at(array('c1ccccc1', 'C1CCCCC1', 'C1CCNCC1', 'c1ccncc1'), int(p_partkey % 4) + 1), repeat('C', p_size))")
+_RINGED = "concat(element_at(array('c1ccccc1', 'C1CCCCC1', 'C1CCNCC1', 'c1ccncc1'), int(p_partkey % 4) + 1), repeat('C', p_size))"
 
 
 @query(f"""SELECT p_partkey, {", ".join(f"{e} AS {n}" for n, e in _D_RINGS.items())}, CASE p_partkey % 4 WHEN 0 THEN 'c1ccccc1' WHEN 1 THEN 'C1CCCCC1' WHEN 2 THEN 'C1CCCCN1' ELSE 'c1ccccn1' END
@@ -345,7 +346,7 @@ _D_CANON = "CASE WHEN p_size = 1 THEN 'CO' ELSE 'C(C)' || repeat('C', p_size - 2
 def f_normal_forms(spark: SparkSession, d: str) -> DataFrame:
     """Canonical texts and fragments of salted alkanols."""
     names = ["canonical_smiles", "largest_fragment", "strip_salts", "fragment_parent", "neutralize_charges", "normalize_smiles"]
-    return M.profile(_parts(spark, d, F.concat(F.lit("[Na+]."), _ALKANOL, F.lit(".[Cl-]"))), "smiles", names).drop("smiles", "p_size", "valid")
+    return M.profile(_parts(spark, d, f"concat('[Na+].', {_ALKANOL}, '.[Cl-]')"), "smiles", names).drop("smiles", "p_size", "valid")
 
 
 @query(
@@ -520,7 +521,7 @@ def text_mol_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def text_mol_json(spark: SparkSession, d: str) -> DataFrame:
     """The JSON forms of the same texts."""
-    return _blocks(spark, d).select("l_orderkey", *[texts3d.UDFS[f"mol_block_{n}"](F.col("block")).alias(n) for n in ("json", "atoms_json", "bonds_json", "properties_json")])
+    return spread(_blocks(spark, d)).select("l_orderkey", *[texts3d.UDFS[f"mol_block_{n}"](F.col("block")).alias(n) for n in ("json", "atoms_json", "bonds_json", "properties_json")])
 
 
 @query(

@@ -10,14 +10,14 @@ from retort.functions.texts3d import mol_block
 
 def read_sdf(spark: SparkSession, path: str) -> DataFrame:
     """``(file, block, mol)``: the record's text, and its typed fields, null where it can't be read. Blank name lines are kept; a trailing empty record isn't one."""
-    rows = spark.read.option("lineSep", "$$$$\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("block"))
+    rows = spark.read.text(path, lineSep="$$$$\n").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("block"))
     rows = rows.filter(F.length(F.trim(F.regexp_replace("block", r"[\r\n]+", ""))) > 0)
     return rows.select("file", "block", mol_block("block").alias("mol"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(file, text)``: whole files, for structure texts."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
