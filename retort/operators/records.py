@@ -132,14 +132,17 @@ def _last(hit: np.ndarray, record: np.ndarray, chars: np.ndarray, begin: np.ndar
     return out
 
 
-_tokenize = arrow_udf(tokenize, TOKENS)
+# Declared not deterministic, so that a filter on what comes of it stays above and records are tokenized once.
+_tokenize = arrow_udf(tokenize, TOKENS).asNondeterministic()
 
 
-@arrow_udf(T.BooleanType())
-def _smiles_ok(texts: pa.Array) -> pa.Array:
+def _valid(texts: pa.Array) -> pa.Array:
     return pa.array([mol.is_valid(t) for t in texts.to_pylist()], pa.bool_())
 
 
+_smiles_ok = arrow_udf(_valid, T.BooleanType()).asNondeterministic()
+
+
 def count_ok(text: Column) -> Column:
     """Empty, or ASCII digits whose number an INT holds."""
     digits = F.regexp_replace(text, r"\A0+(?=[0-9])", "")

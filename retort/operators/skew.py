@@ -10,6 +10,15 @@ from retort.session import BROADCAST_ROWS
 #: A key is hot above this many rows, or above one HOT_SHARE-th of all rows if that is more.
 HOT_ROWS = 20_000
 HOT_SHARE = 4_000
+#: Characters (as JSON) one hot row may have to be broadcast: with fewer than HOT_SHARE hot rows that bounds the whole.
+HOT_CHARS = 4_000
+#: Bytes of a written table (as stored) up to which all of it may be broadcast.
+SMALL_BYTES = 4 << 20
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """What Spark knows of the size of a plan; for written tables the size of their files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hot_limit(total: int) -> int:
@@ -20,16 +29,16 @@ def hot_limit(total: int) -> int:
 def lookup(big: DataFrame, small: DataFrame, key: str, n: str, total: int, small_rows: int | None = None) -> DataFrame:
     """``big`` left-joined with ``small`` (one row per ``key``, with the key's row count ``n`` in ``big``).
 
-    ``total`` is the sum of ``n``. If ``small`` is counted and small it is broadcast. Otherwise hot keys
-    (fewer than HOT_SHARE of them, by counting) go through a broadcast, all others through a shuffle
+    ``total`` is the sum of ``n``. If ``small`` is counted and small, in rows and bytes, it is broadcast. Otherwise hot keys
+    (fewer than HOT_SHARE of them, by counting, of at most HOT_CHARS each) go through a broadcast, all others through a shuffle
     in which the hot rows are spread by a random-looking null-safe key instead of meeting in one task.
     """
     values = [c for c in small.columns if c != key]
-    if small_rows is not None and small_rows <= BROADCAST_ROWS:
+    if small_rows is not None and small_rows <= BROADCAST_ROWS and stored_bytes(small) <= SMALL_BYTES:
         return big.join(F.broadcast(small), key, "left")
-    limit = hot_limit(total)
-    hot = small.filter(F.col(n) > limit).select(key, F.struct(*values).alias("_hot"))
-    cold = small.filter(F.col(n) <= limit).select(F.col(key).alias("_ck"), F.struct(*values).alias("_cold"))
+    is_hot = (F.col(n) > hot_limit(total)) & (F.length(F.to_json(F.struct(*small.columns))) <= HOT_CHARS)
+    hot = small.filter(is_hot).select(key, F.struct(*values).alias("_hot"))
+    cold = small.filter(~is_hot | F.col(n).isNull()).select(F.col(key).alias("_ck"), F.struct(*values).alias("_cold"))
     out = big.join(F.broadcast(hot), key, "left")
     # Null never joins; the key of a hot row is replaced by null, which a left outer join keeps where it is spread by _spread.
     spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*big.columns), F.lit(512)) + 1)

@@ -593,11 +593,11 @@ def r_top_per_group(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w).cast("bigint")).filter("place <= 3").select("target", "place", "mol_id", "score")
 
 
-@query("""SELECT target, label, count(*) AS n, round(avg(CASE WHEN isnan(score) THEN NULL ELSE score END), 6) AS mean, grouping(target, label) AS level FROM screen GROUP BY CUBE (target, label)""")
+@query("""SELECT target, label, count(*) AS n, CAST(round(sum(CASE WHEN isnan(score) THEN NULL ELSE score END) * 1000) AS BIGINT) AS milli, grouping(target, label) AS level FROM screen GROUP BY CUBE (target, label)""")
 def r_cube(spark: SparkSession, d: str) -> DataFrame:
     """Grouping sets over target and label."""
     clean = F.when(~F.isnan("score"), F.col("score"))
-    return table(spark, d, "screen").cube("target", "label").agg(F.count("*").alias("n"), F.round(F.avg(clean), 6).alias("mean"), F.grouping_id().alias("level"))
+    return table(spark, d, "screen").cube("target", "label").agg(F.count("*").alias("n"), F.round(F.sum(clean) * 1000).cast("bigint").alias("milli"), F.grouping_id().alias("level"))
 
 
 @query("""(SELECT name FROM smiles INTERSECT SELECT name FROM selfies) EXCEPT SELECT name FROM inchi""")
