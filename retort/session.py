@@ -20,14 +20,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables written so far; how many. Results that weren't stored elsewhere can't be read afterwards, so this is for the end of a job."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    n = len(_WRITTEN)
+    _WRITTEN.clear()
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on at least as many partitions as there are cores, for dear row-wise work on inputs of few files; larger inputs are left where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

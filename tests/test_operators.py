@@ -57,6 +57,14 @@ def test_threshold_join_brute(spark):
     assert workflows.threshold_join(fps.limit(0), 0.5).count() == 0
 
 
+def test_written_and_released(spark):
+    from retort.session import checkpoint_dir, release, written
+
+    df = written(spark.range(5), "five")
+    assert df.count() == 5 and df.inputFiles()[0].startswith(checkpoint_dir(spark))
+    assert release(spark) >= 1 and release(spark) == 0
+
+
 def test_metrics_edges(spark):
     rows = [("a", 1.0, True, 1), ("a", 1.0, False, 2), ("a", 2.0, False, 3), ("b", 1.0, True, 1), ("c", None, True, 1), ("c", float("nan"), True, 2), (None, 1.0, True, 1), (None, 2.0, False, 2)]
     df = spark.createDataFrame(rows, "g string, s double, l boolean, t int")
