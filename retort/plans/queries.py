@@ -16,7 +16,7 @@ from retort.functions import similarity as S
 from retort.functions.registry import python_functions
 from retort.operators import records
 from retort.plans import workflows
-from retort.session import spread
+from retort.session import spread, written
 from retort.sources.tables import table
 from retort.streaming import streams
 
@@ -474,11 +474,14 @@ RECEPTOR = "\n".join(
 
 @query()
 def vs_docking(spark: SparkSession, d: str) -> DataFrame:
-    """One ligand for every nation - a short alkanol - docked to a small receptor, with both PDBQT texts."""
-    rows = table(spark, d, "nation").select("n_nationkey", F.expr("concat(repeat('C', int(1 + n_nationkey % 5)), 'O')").alias("smiles"))
-    out = dockings.dock_ligands(rows, "smiles", RECEPTOR, (3.0, 0.0, 4.0), (7.0, 7.0, 7.0), runs=4, seed=11)
-    texts = [dockings.UDFS["smiles_to_pdbqt"](F.col("smiles"), F.lit(1).cast("bigint")).alias("ligand"), dockings.UDFS["prepare_receptor"](F.lit(RECEPTOR), F.lit(7.4)).alias("receptor")]
-    return out.select("n_nationkey", "smiles", "score", *texts, dockings.UDFS["pdb_to_pdbqt"](F.lit(RECEPTOR)).alias("plain"))
+    """Every row of the molecule table docked to a small receptor, with both PDBQT texts; each distinct text is docked once. Rows without a valid molecule have nulls."""
+    rows = table(spark, d, "smiles").select("mol_id", "smiles")
+    texts = rows.filter("smiles is not null").groupBy("smiles").agg(F.count("*").alias("copies"))
+    out = dockings.dock_ligands(texts, "smiles", RECEPTOR, (3.0, 0.0, 4.0), (7.0, 7.0, 7.0), runs=4, seed=11)
+    ligand = dockings.UDFS["smiles_to_pdbqt"](F.col("smiles"), F.lit(1).cast("bigint")).alias("ligand")
+    docked = written(out.select("smiles", "copies", "score", ligand), "docked")
+    texts = [dockings.UDFS["prepare_receptor"](F.lit(RECEPTOR), F.lit(7.4)).alias("receptor"), dockings.UDFS["pdb_to_pdbqt"](F.lit(RECEPTOR)).alias("plain")]
+    return workflows.join_back(rows, docked, "smiles", "copies").select("mol_id", "smiles", "score", "ligand", *texts)
 
 
 # --- MOL, SDF and structure texts --------------------------------------------------------------------------------------------------------------------
