@@ -188,6 +188,12 @@ def sim_pairs(spark: SparkSession, d: str) -> DataFrame:
     return workflows.threshold_join(_fps(spark, d), 0.9)
 
 
+@query()
+def sim_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with the id that stands for its fingerprint in ``sim_pairs``, and the number of other rows with similarity of at least 0.9."""
+    return workflows.similar_members(_fps(spark, d), 0.9)
+
+
 @query()
 def w_parents(spark: SparkSession, d: str) -> DataFrame:
     """Salt-free parents with the number of their records."""

@@ -64,6 +64,21 @@ def threshold_join(fps: DataFrame, t: float, id_col: str = "mol_id", group: int
     return pairs.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= t - 1e-12)
 
 
+def similar_members(fps: DataFrame, t: float, id_col: str = "mol_id") -> DataFrame:
+    """``(id, class_id, links)`` for every row: the id that stands for its fingerprint in ``threshold_join``, and the number of other rows with similarity at least ``t``.
+
+    Rows of one class have similarity 1 (0 without any bit); all links of a row are those within its class and those of its class's pairs to all members of the other.
+    """
+    fps = written(fps.select(id_col, "fp", "words", "n_on"), "prints")
+    classes = written(fps.groupBy("fp").agg(F.min(id_col).alias("class_id"), F.count("*").alias("rows"), F.first("n_on").alias("n")), "classes")
+    pairs = written(threshold_join(fps, t, id_col).select("a", "b"), "pairs")
+    ends = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = ends.join(classes.select(F.col("class_id").alias("b"), "rows"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("rows").alias("far"))
+    links = F.when(F.col("n") > 0, F.col("rows") - 1).otherwise(F.lit(0)) + F.coalesce("far", F.lit(0))
+    linked = written(classes.join(far, "class_id", "left").select("fp", "rows", "class_id", links.alias("links")), "linked")
+    return join_back(fps.select(id_col, "fp"), linked, "fp", "rows").select(id_col, "class_id", "links")
+
+
 def _on_bits(words: Column) -> Column:
     """Numbers of the on-bits: 64 times the word's place plus the bit's in it."""
     each = F.transform(words, lambda w, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(w, b) == 1), lambda b: i * 64 + b))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from retort.plans import queries
+from retort.functions import molecules as M
+from retort.plans import queries, workflows
 
 
 def test_docking_of_every_row(spark, tmp_path):
@@ -12,3 +13,14 @@ def test_docking_of_every_row(spark, tmp_path):
     assert {i: r.smiles for i, r in got.items()} == texts
     assert {i for i, r in got.items() if r.score is not None and r.ligand} == {1, 2, 3, 4}
     assert (got[1].score, got[1].ligand) == (got[3].score, got[3].ligand) and got[5].receptor and got[6].plain
+
+
+def test_members_of_similar_pairs(spark):
+    texts = ["CCO", "OCC", "CCCO", "CCCCO", "CCCCCO", "c1ccccc1C", "Cc1ccccc1", "c1ccccc1CC", "c1ccccc1CCC", "bad", None, "CCO", "CCCCCCCCO", "CCCCCCCCCO"]
+    fps = workflows.fingerprints(spark.createDataFrame(list(enumerate(texts)), "mol_id bigint, smiles string"), "smiles")
+    bits = {i: int.from_bytes(M.FIELDS["morgan_fp_bits"].make(M.molecule(t)), "little") for i, t in enumerate(texts) if t and M.molecule(t)}
+    for t in (0.3, 0.6, 1.0):
+        want = {i: (min(j for j in bits if bits[j] == x), sum(j != i and (x & y).bit_count() / (x | y).bit_count() >= t for j, y in bits.items())) for i, x in bits.items()}
+        got = {r.mol_id: (r.class_id, r.links) for r in workflows.similar_members(fps, t).collect()}
+        assert got == want and got[0][0] == got[1][0] == got[11][0] == 0
+    assert workflows.similar_members(fps.limit(0), 0.5).count() == 0
