@@ -23,13 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retort.functions.normal import structure
-from retort.operators.skew import blocks, lookup
+from retort.operators.skew import lookup, meet
 from retort.session import written
 
 #: Sets of up to this many tokens are small: the most subsets one enumerates is about 60.
 SMALL = 6
-#: Rows of one key that meet in one task at most; larger groups are cut into blocks that meet pairwise.
-GROUP = 2_000
 
 
 def need(a: int, b: int, t: Fraction) -> int:
@@ -61,26 +59,6 @@ def _subsets(t: Fraction, least: int, small: int):
     return make
 
 
-def meet(left: DataFrame, right: DataFrame, key: str, group: int = GROUP) -> DataFrame:
-    """All pairs of a row of ``left`` and one of ``right`` with equal ``key``, the columns as structs ``x`` and ``y``.
-
-    Key frequencies are counted first, on both sides; a key that is frequent is cut into blocks of about ``group`` rows on either side, and every block of
-    one side meets every block of the other in a task of its own. Only keys that occur on both sides go on. Both tables are read twice: they should be written ones.
-    """
-    tagged = left.select(key, F.lit(1).alias("l")).unionAll(right.select(key, F.lit(0).alias("l")))
-    counts = tagged.groupBy(key).agg(F.sum("l").alias("nl"), F.sum(1 - F.col("l")).alias("nr"), F.count("*").alias("n_both")).filter("nl > 0 and nr > 0")
-    counts = written(counts.select(key, blocks(F.col("nl"), group).alias("pl"), blocks(F.col("nr"), group).alias("pr"), "n_both"), "counts")
-    total, rows = counts.agg(F.sum("n_both"), F.count("*")).first()
-
-    def side(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        packed = df.select(key, F.struct(*df.columns).alias(name))
-        packed = lookup(packed, counts, key, "n_both", total or 0, rows).filter("pl is not null")
-        packed = packed.withColumn(own, F.pmod(F.xxhash64(name), F.col("pl" if own == "bl" else "pr")).cast("int"))
-        return packed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("pr" if own == "bl" else "pl") - 1))).select(key, "bl", "br", name)
-
-    return side(left, "x", "bl", "br").join(side(right, "y", "br", "bl"), [key, "bl", "br"]).select("x", "y")
-
-
 def similar_classes(sets: DataFrame, threshold: float = 0.6, least: int = 3, small: int = SMALL) -> DataFrame:
     """``(a, b, common, similarity)`` for all pairs a < b of distinct sets with Jaccard similarity at least ``threshold``.
 

@@ -15,6 +15,7 @@ from retort.functions import molecules as M
 from retort.functions import similarity as S
 from retort.functions.registry import python_functions
 from retort.operators import records
+from retort.operators.skew import meet
 from retort.plans import workflows
 from retort.session import spread, written
 from retort.sources.tables import table
@@ -137,11 +138,15 @@ def mol_reports(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mol_mcs(spark: SparkSession, d: str) -> DataFrame:
-    """Common substructures of records that appear in both molecule tables under one name."""
-    a = table(spark, d, "selfies").select("name", F.col("mol_id").alias("a"), F.col("smiles").alias("x"))
-    b = table(spark, d, "smiles").groupBy("name").agg(F.min_by(F.struct(F.col("mol_id").alias("b"), F.col("smiles").alias("y")), "mol_id").alias("r"))
-    both = spread(a.join(b, "name").select("a", "r.b", "x", "r.y"))
-    return both.select("a", "b", M.call("mcs_smarts", "x", "y").alias("mcs_smarts"), M.call("mcs_json", "x", "y").alias("mcs_json"))
+    """Common substructures of all pairs of a record of each molecule table with one name; each pair of distinct texts is computed once."""
+    left = table(spark, d, "selfies").select("name", F.col("mol_id").alias("a"), F.col("smiles").alias("x"))
+    right = table(spark, d, "smiles").select("name", F.col("mol_id").alias("b"), F.col("smiles").alias("y"))
+    both = meet(left, right, "name").select("x.a", "y.b", "x.x", "y.y")
+    both = written(both, "records")
+    texts = both.filter("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("n"))
+    # Pairs differ in cost: they are spread evenly, so that dear ones don't gather in one task.
+    made = texts.repartition(4 * spark.sparkContext.defaultParallelism).select(F.struct("x", "y").alias("texts"), "n", M.call("mcs_smarts", "x", "y").alias("mcs_smarts"), M.call("mcs_json", "x", "y").alias("mcs_json"))
+    return workflows.join_back(both.select("a", "b", F.struct("x", "y").alias("texts")), written(made, "common"), "texts", "n").select("a", "b", "mcs_smarts", "mcs_json")
 
 
 @query()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import duckdb
+
 from retort.functions import molecules as M
+from retort.kernel import structures as S
 from retort.plans import queries, workflows
 
 
@@ -24,3 +27,18 @@ def test_members_of_similar_pairs(spark):
         got = {r.mol_id: (r.class_id, r.links) for r in workflows.similar_members(fps, t).collect()}
         assert got == want and got[0][0] == got[1][0] == got[11][0] == 0
     assert workflows.similar_members(fps.limit(0), 0.5).count() == 0
+
+
+def test_common_parts_of_all_records_of_a_name(spark, tmp_path):
+    schema = "mol_id bigint, name string, smiles string"
+    spark.createDataFrame([(1, "p", "CCO"), (2, "p", "CCO"), (3, "q", None), (4, None, "CC"), (5, "r", "CC")], schema).write.parquet(f"{tmp_path}/selfies.parquet")
+    spark.createDataFrame([(10, "p", None), (11, "p", "bad"), (12, "p", "OCC"), (13, "p", "CCCO"), (14, "p", "OCC"), (15, "q", "CC"), (16, None, "CC"), (17, "s", "CC")], schema).write.parquet(f"{tmp_path}/smiles.parquet")
+    got = [tuple(r)[:3] for r in queries.mol_mcs(spark, str(tmp_path)).collect()]
+    ok = M.molecule("CCO")
+    full = {12: S.mcs_smarts(ok, M.molecule("OCC")), 13: S.mcs_smarts(ok, M.molecule("CCCO"))}
+    assert sorted(got, key=repr) == sorted([*[(a, b, full.get(12 if b == 14 else b)) for a in (1, 2) for b in range(10, 15)], (3, 15, None)], key=repr) and all(full.values())
+
+
+def test_common_parts_of_given_tables(spark, data):
+    want = duckdb.sql(f"SELECT a.mol_id, b.mol_id FROM '{data}/selfies.parquet' a JOIN '{data}/smiles.parquet' b USING (name)").fetchall()
+    assert sorted((r.a, r.b) for r in queries.mol_mcs(spark, data).collect()) == sorted(want)
