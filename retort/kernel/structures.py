@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 from retort.kernel.descriptors import formula, heavy_atoms, weight
 from retort.kernel.jsontext import dumps
 from retort.kernel.mol import AROMATIC, DOUBLE, SINGLE, Molecule, aromatize
@@ -220,40 +223,38 @@ def mol_hash(mol: Molecule, method: str | None) -> str | None:
 
 # --- maximum common substructure ---------------------------------------------------------------------------------------------------------------------
 
-#: Search steps after which a pair is given up (its result is then null); the search is exponential in the worst case.
-SEARCH_STEPS = 50_000
-
-
-def common_pairs(a: Molecule, b: Molecule, steps: int = SEARCH_STEPS) -> list[tuple[int, int]] | None:
-    """Atom pairs of the largest connected common substructure, by atoms of the smaller molecule; None if the search takes too long.
+def common_pairs(a: Molecule, b: Molecule) -> list[tuple[int, int]]:
+    """Atom pairs of the largest connected common substructure, by atoms of the smaller molecule.
 
     Atoms pair if element, aromaticity and charge agree, bonds if their orders do or one is aromatic and the other single. Bonds of the smaller molecule
-    must have their partner. Of equally large results the first in order of atoms counts.
+    must have their partner. Of equally large results the first in order of atoms counts. The search is exact and has no bound; it is exponential in the worst case.
 
     Branch and bound: the lowest undecided atom at the edge of the mapped part is given each partner it can have, then left out for good. A branch ends where the atoms
-    still to be had, kind by kind, can't beat the best, or can only equal it with pairs that come later.
+    still to be had, kind by kind, can't beat the best, or can only equal it with pairs that come later. To be had are atoms that undecided ones link to the mapped part,
+    on either side, so what lies in another component or behind atoms left out doesn't count.
     """
     swap = heavy_atoms(a) > heavy_atoms(b)
     small, large = (b, a) if swap else (a, b)
     kind = lambda m, i: (m.sym[i], m.arom[i], m.chg[i])
-    free: dict = {}
+    names: dict = {}
+    free: dict[int, list[int]] = {}
+    spots: list[int | None] = [None] * len(large)
     for j in range(len(large)):
         if large.sym[j] != "H":
-            free.setdefault(kind(large, j), []).append(j)
-    kinds = [kind(small, i) if small.sym[i] != "H" and kind(small, i) in free else None for i in range(len(small))]
+            spots[j] = names.setdefault(kind(large, j), len(names))
+            free.setdefault(spots[j], []).append(j)
+    kinds = [names.get(kind(small, i)) if small.sym[i] != "H" else None for i in range(len(small))]
+    wanted = set(kinds) - {None}
+    near = [[v for v, _ in small.adj[i] if kinds[v] is not None] for i in range(len(small))]
+    far = [[v for v, _ in large.adj[j] if spots[v] in wanted] for j in range(len(large))]
     order: dict[tuple[int, int], int] = {}
     for u, v, o in large.bonds:
         order.setdefault((u, v), o)
         order.setdefault((v, u), o)
-    left = {k: len(v) for k, v in free.items()}
     best: list[tuple[int, int]] = []
     mapping: dict[int, int] = {}
     used: set[int] = set()
     out: set[int] = set()
-    spent = 0
-
-    class Spent(Exception):
-        pass
 
     def partners(i: int) -> list[int]:
         bonds = [(mapping[v], small.bonds[k][2]) for v, k in small.adj[i] if v in mapping]
@@ -269,70 +270,80 @@ def common_pairs(a: Molecule, b: Molecule, steps: int = SEARCH_STEPS) -> list[tu
                 return i in out
         return False
 
-    def grow(members: list[int], open_: dict) -> None:
-        nonlocal best, spent
-        spent += 1
-        if spent > steps:
-            raise Spent
-        pairs = sorted(mapping.items())
-        if len(pairs) > len(best) or (len(pairs) == len(best) and pairs < best):
-            best = pairs
+    def reached(links: list[list[int]], starts, shut, of: list) -> list[int]:
+        """Numbers of atoms by kind that lead on from ``starts`` outside ``shut``."""
+        counts = [0] * len(names)
+        seen, todo = set(starts), list(starts)
+        while todo:
+            for v in links[todo.pop()]:
+                if v not in seen and v not in shut:
+                    seen.add(v)
+                    todo.append(v)
+                    counts[of[v]] += 1
+        return counts
+
+    def most() -> int:
+        return len(mapping) + sum(map(min, reached(near, mapping, out, kinds), reached(far, used, (), spots)))
+
+    def grow() -> Iterator[None]:
+        """Search from the mapped part on; a generator, so that depth isn't limited by the stack: each item asks for a search from the mapped part as it is then."""
+        nonlocal best
+        if len(mapping) >= len(best):
+            pairs = sorted(mapping.items())
+            if len(pairs) > len(best) or pairs < best:
+                best = pairs
         dropped = []
         while True:
-            most = len(mapping) + sum(min(n, left[k]) for k, n in open_.items())
-            if most < len(best) or (most == len(best) and later()):
+            bound = most()
+            if bound < len(best) or (bound == len(best) and later()):
                 break
-            edge = [v for u in mapping for v, _ in small.adj[u] if v not in mapping and v not in out and kinds[v] is not None]
+            edge = [v for u in mapping for v in near[u] if v not in mapping and v not in out]
             if not edge:
                 break
             i = min(edge)
-            k = kinds[i]
-            open_[k] -= 1
-            left[k] -= 1
             for j in partners(i):
                 mapping[i] = j
                 used.add(j)
-                grow(members, open_)
+                yield
                 used.discard(j)
                 del mapping[i]
-            left[k] += 1
             out.add(i)
             dropped.append(i)
-        for i in dropped:
-            out.discard(i)
-            open_[kinds[i]] += 1
-
-    try:
-        for part in small.components():
-            members = [i for i in part if kinds[i] is not None]
-            for n, s in enumerate(members):
-                out.clear()
-                out.update(members[:n])
-                open_: dict = {}
-                for i in members[n + 1 :]:
-                    open_[kinds[i]] = open_.get(kinds[i], 0) + 1
-                left[kinds[s]] -= 1
-                for j in free[kinds[s]]:
-                    mapping[s] = j
-                    used.add(j)
-                    grow(members, open_)
-                    used.discard(j)
-                    del mapping[s]
-                left[kinds[s]] += 1
-    except (Spent, RecursionError):
-        return None
+        out.difference_update(dropped)
+
+    whole = [Counter(spots[j] for j in part if spots[j] in wanted) for part in large.components()]
+    place = {j: n for n, part in enumerate(large.components()) for j in part}
+    for part in small.components():
+        members = sorted(i for i in part if kinds[i] is not None)
+        for n, s in enumerate(members):
+            out.clear()
+            out.update(members[:n])
+            rest = Counter(kinds[i] for i in members[n:])
+            caps = [(rest & c).total() for c in whole]
+            for j in free[kinds[s]]:
+                # Every result from here on begins with this pair.
+                if caps[place[j]] < len(best) or (caps[place[j]] == len(best) and best[0] < (s, j)):
+                    continue
+                mapping[s] = j
+                used.add(j)
+                stack = [grow()]
+                while stack:
+                    if next(stack[-1], stack) is stack:
+                        stack.pop()
+                    else:
+                        stack.append(grow())
+                used.discard(j)
+                del mapping[s]
     return sorted(((y, x) for x, y in best), key=lambda p: p[1]) if swap else best
 
 
-def mcs_smarts(a: Molecule, b: Molecule) -> str | None:
+def mcs_smarts(a: Molecule, b: Molecule) -> str:
     pairs = common_pairs(a, b)
-    return None if pairs is None else canonical_smiles(a.subgraph(x for x, _ in pairs)) if pairs else ""
+    return canonical_smiles(a.subgraph(x for x, _ in pairs)) if pairs else ""
 
 
-def mcs(a: Molecule, b: Molecule) -> dict | None:
+def mcs(a: Molecule, b: Molecule) -> dict:
     pairs = common_pairs(a, b)
-    if pairs is None:
-        return None
     left, right = sorted(x for x, _ in pairs), sorted(y for _, y in pairs)
     part = a.subgraph(left)
     return {

@@ -42,3 +42,12 @@ def test_common_parts_of_all_records_of_a_name(spark, tmp_path):
 def test_common_parts_of_given_tables(spark, data):
     want = duckdb.sql(f"SELECT a.mol_id, b.mol_id FROM '{data}/selfies.parquet' a JOIN '{data}/smiles.parquet' b USING (name)").fetchall()
     assert sorted((r.a, r.b) for r in queries.mol_mcs(spark, data).collect()) == sorted(want)
+
+
+def test_common_parts_without_bound():
+    part = "CC(=O)Nc1ccc(cc1)S(=O)(=O)NC1CCCCC1"
+    m, n = M.molecule(".".join([part] * 22)), M.molecule(".".join([part] * 22 + ["[Na+]"]))
+    size = len(M.molecule(part))
+    assert S.common_pairs(m, n) == [(i, i) for i in range(size)] and S.mcs_smarts(m, n) == S.mcs_smarts(M.molecule(part), M.molecule(part))
+    # Deeper than Python's stack.
+    assert S.common_pairs(M.molecule("C" * 1200), M.molecule("C" * 1200)) == [(i, i) for i in range(1200)]
