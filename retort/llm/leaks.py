@@ -13,7 +13,7 @@ a verbatim copy has the item's template in any letter case.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retort.operators.skew import lookup
 from retort.session import written
 
 #: Consecutive words that make a leak.
 WINDOW = 13
 #: Words of a window that must be literal, not placeholders, for a re-parameterised match.
 LITERALS = 7
-#: Item words and windows that are sent to the executors at most (about 20 MB); beyond, words are told apart by form only and windows are not preselected.
+#: Different item words, and item windows, that are sent to the executors at most (about 20 MB each); beyond, words are joined to their texts and windows are not preselected.
 SENT = 1_000_000
 #: Item windows (each some 100 bytes of words) up to which the items' side of the join is broadcast; beyond, the join shuffles.
 SENT_WINDOWS = 50_000
@@ -54,8 +55,8 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text) if text else []
 
 
-def item_lexicon(texts: list[str]) -> tuple[set[str], set[str]]:
-    """Lower-case words of the items, and those of them that are names: capitalised within a sentence, and never in lower case."""
+def item_words(texts: Iterable[str]) -> tuple[set[str], set[str], set[str]]:
+    """Lower-case words of texts, words that begin in lower case as written, and lower-case words that stand capitalised within a sentence."""
     vocabulary, lower, inner = set(), set(), set()
     for text in texts:
         for m in _WORD.finditer(text):
@@ -65,13 +66,48 @@ def item_lexicon(texts: list[str]) -> tuple[set[str], set[str]]:
                 lower.add(w)
             elif w[0].isupper() and text[: m.start()].rstrip("\"'([ \t")[-1:] not in ("", ".", "?", "!", ":", "\n"):
                 inner.add(w.lower())
-    return vocabulary, inner - lower
+    return vocabulary, lower, inner
+
+
+def word_table(items: DataFrame) -> DataFrame:
+    """``(word, name)``: the lower-case words of the items' ``text``, and whether each is a name: capitalised within a sentence, and never in lower case."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vocabulary, lower, inner = item_words(t for t in batch.column(0).to_pylist() if t)
+            words = list(vocabulary | lower)
+            flags = [pa.array([w in held for w in words], pa.bool_()) for held in (vocabulary, lower, inner)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *flags], ["word", "held", "lower", "inner"])
+
+    found = items.select("text").mapInArrow(make, "word string, held boolean, lower boolean, inner boolean")
+    found = found.groupBy("word").agg(*[F.max(c).alias(c) for c in ("held", "lower", "inner")])
+    return found.filter("held").select("word", (F.col("inner") & ~F.col("lower")).alias("name"))
+
+
+def with_words(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``(id, text, words, names)``: ``df`` (id, text) with the words of each text that the word table has, and those of them that are names."""
+    rows = written(df.select("id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = sorted({w.lower() for w in words_of(text.as_py())})
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(words, pa.string())], ["row", "word"])
+
+    said = written(rows.select("row", "text").mapInArrow(make, "row bigint, word string"), "said")
+    # Words that many texts have are hot keys of the join.
+    counts = said.groupBy("word").agg(F.count("*").alias("n"))
+    small = written(counts.join(table, "word"), "words")
+    total, n = said.count(), small.count()
+    told = lookup(said, small, "word", "n", total, n).filter("name is not null")
+    held = told.groupBy("row").agg(F.collect_list("word").alias("words"), F.collect_list(F.when(F.col("name"), F.col("word"))).alias("names"))
+    return rows.join(held, "row", "left").select("id", "text", "words", "names")
 
 
 class Codes(dict):
     """Word as written to its 64-bit template code; filled as words are met."""
 
-    def __init__(self, vocabulary: set[str] | None, names: set[str]):
+    def __init__(self, vocabulary: set[str], names: set[str]):
         super().__init__()
         self.vocabulary, self.names = vocabulary, names
 
@@ -83,7 +119,7 @@ class Codes(dict):
             code = _UNIT
         elif low in self.names:
             code = _NAME
-        elif self.vocabulary is None or low in self.vocabulary:
+        elif low in self.vocabulary:
             code = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) | 16
         else:
             # No item has the word: it can only stand where an item has a name.
@@ -124,22 +160,23 @@ def window_hashes(codes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def _windows(lexicon, known, width: int, id_col: str, text_col: str):
-    """Batches of (id, text) to rows (id, window, words, literals): each document's windows that are ``known``, one of each kind."""
+def _windows(lexicon, known, width: int):
+    """Batches of (id, text), without a lexicon (id, text, words, names), to rows (id, window, words, literals): each document's windows that are ``known``, one of each kind."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, names = lexicon.value
-        codes, powers = Codes(vocabulary, names), Powers()
+        codes, powers = None if lexicon is None else Codes(*lexicon.value), Powers()
         hashes = known.value if known is not None else None
         if hashes is not None:
             quick = np.zeros(1 << 20, bool)
             quick[(hashes >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for at_row, (i, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 found = _WORD.findall(text.as_py() or "")
                 if len(found) < width:
                     continue
+                if lexicon is None:
+                    codes = Codes(*[set(batch.column(c)[at_row].as_py() or ()) for c in (2, 3)])
                 code = np.fromiter(map(codes.__getitem__, found), np.uint64, len(found))
                 h = window_hashes(code, width, powers)
                 if hashes is not None:
@@ -181,18 +218,20 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = WINDOW, literals:
     spark = documents.sparkSession
     sc = spark.sparkContext
     items = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    n_items, n_chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    small = n_chars <= 8 * SENT
-    lexicon = sc.broadcast(item_lexicon([r[0] for r in items.select("text").filter("text is not null").collect()]) if small else (None, set()))
+    table = written(word_table(items), "item_words")
     schema = "id bigint, window bigint, words array<string>, literals int"
-    wanted = written(items.mapInArrow(_windows(lexicon, None, width, "id", "text"), schema), "item_windows")
+    lexicon = None
+    if table.count() <= SENT:
+        told = table.collect()
+        lexicon = sc.broadcast(({r[0] for r in told}, {r[0] for r in told if r[1]}))
+    texts = lambda df: df.select("id", "text") if lexicon else with_words(df, table)
+    wanted = written(texts(items).mapInArrow(_windows(lexicon, None, width), schema), "item_windows")
     known = None
-    if small:
-        # At most one window per item character, so no more than 8 * SENT.
+    if wanted.count() <= 8 * SENT:
         known = sc.broadcast(np.unique(np.array([r[0] for r in wanted.select("window").distinct().collect()], np.int64).astype(np.uint64)))
         if not len(known.value):
             return spark.createDataFrame([], "doc_id bigint, item_id bigint, verbatim bigint, altered bigint")
-    held = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(_windows(lexicon, known, width, "id", "text"), schema)
+    held = texts(documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))).mapInArrow(_windows(lexicon, known, width), schema)
     right = wanted.select(F.col("id").alias("item_id"), "window", F.col("words").alias("asked"), F.col("literals").alias("fixed"))
     if wanted.count() <= SENT_WINDOWS:
         right = F.broadcast(right)

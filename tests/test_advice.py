@@ -6,6 +6,7 @@ import duckdb
 
 from retort.functions import molecules as M
 from retort.kernel import structures as S
+from retort.llm import leaks
 from retort.plans import queries, workflows
 
 
@@ -51,3 +52,17 @@ def test_common_parts_without_bound():
     assert S.common_pairs(m, n) == [(i, i) for i in range(size)] and S.mcs_smarts(m, n) == S.mcs_smarts(M.molecule(part), M.molecule(part))
     # Deeper than Python's stack.
     assert S.common_pairs(M.molecule("C" * 1200), M.molecule("C" * 1200)) == [(i, i) for i in range(1200)]
+
+
+def test_leaks_of_any_size(spark, monkeypatch):
+    item = "The keeper of Zandor measured 120 tons of silt while the old mill near Varnby turned slowly for 3 days"
+    swapped = item.replace("Zandor", "Kelmo").replace("120", "77").replace("tons", "kg").replace("Varnby", "Oster")
+    docs = [(1, item.upper()), (2, swapped), (3, None), (4, ""), (5, "noise " * 5_000 + item.lower()), (6, item.replace("silt", "sand")), (7, item.replace("Varnby", "Zandor")), (2, item), (None, swapped)]
+    df = spark.createDataFrame([*docs, *[(i, f"the old mill {i}") for i in range(100, 200)]], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, item), (10, None), (11, "too short"), (12, item.replace("mill", "Kelmo"))], "item_id bigint, text string")
+    got = []
+    for sent in (leaks.SENT, 10, 0):
+        monkeypatch.setattr(leaks, "SENT", sent)
+        got.append({tuple(r) for r in leaks.leaks(df, items).collect()})
+    assert got[0] == got[1] == got[2] and {(1, 9, 8, 0), (None, 9, 0, 8)} <= got[0]
+    assert leaks.leaks(df.limit(0), items).count() == 0 and leaks.leaks(df, items.limit(0)).count() == 0
