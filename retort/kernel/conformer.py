@@ -36,8 +36,6 @@ K_BOND, K_ANGLE, K_PLANE, DEPTH, STEPS, FLAT, HISTORY = 700.0, 100.0, 400.0, 0.1
 TRIES, BOND_SLACK, ANGLE_SLACK, RING_SLACK, APART = 8, 0.05, 0.10, 0.06, 0.8
 # Multiplier and increment of the random sequence, and the multiplier that spreads seeds.
 LCG_A, LCG_C, SPREAD = 6364136223846793005, 1442695040888963407, 0x9E3779B97F4A7C15
-#: Atoms, hydrogens included, up to which a conformer is made; larger molecules have none.
-MOST_ATOMS = 400
 _MASK = (1 << 64) - 1
 
 
@@ -264,13 +262,11 @@ def relax(terms: Terms, x: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def conformer(text: str | None, seed: int | None) -> tuple[Molecule, np.ndarray] | None:
-    """The molecule with its hydrogens and coordinates (atoms x 3) of the best of several embeddings; None for invalid texts, single atoms and too many atoms."""
+    """The molecule with its hydrogens and coordinates (atoms x 3) of the best of several embeddings; None for invalid texts and single atoms."""
     bare = parse(text)
     if bare is None or seed is None:
         return None
     mol = with_hydrogens(bare)
-    if len(mol) > MOST_ATOMS:
-        return None
     terms = Terms(mol)
     low, high = terms.limits()
     best = None

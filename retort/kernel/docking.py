@@ -243,8 +243,8 @@ def pair_energy(a: str, b: str, r: np.ndarray) -> np.ndarray:
     return np.where(d > REACH, 0.0, e)
 
 
-#: Points times receptor atoms worked on at once when grids are made, and grid points a box may have.
-SLAB, MOST_POINTS = 2_000_000, 2_000_000
+#: Points times receptor atoms worked on at once when grids are made.
+SLAB = 2_000_000
 
 
 class Grids:
@@ -254,17 +254,17 @@ class Grids:
         self.center, size = np.array(center, float), np.array(size, float)
         self.origin = self.center - size
         self.n = np.ceil(2 * size / SPACING).astype(int) + 1
-        if (self.n < 1).any() or self.n.prod() > MOST_POINTS:
+        if (self.n < 1).any():
             raise ValueError("box")
-        axes = [self.origin[k] + SPACING * np.arange(self.n[k]) for k in range(3)]
-        points = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
-        data = np.zeros((len(PROBES), len(points)))
+        count = int(self.n.prod())
+        data = np.zeros((len(PROBES), count))
         kinds = sorted(set(r.types))
         members = {t: r.xyz[[x == t for x in r.types]] for t in kinds}
         for t in kinds:
             step = max(1, SLAB // len(members[t]))
-            for k in range(0, len(points), step):
-                d = np.sqrt(((points[k : k + step, None] - members[t][None]) ** 2).sum(2))
+            for k in range(0, count, step):
+                points = self.origin + SPACING * np.stack(np.unravel_index(np.arange(k, min(k + step, count)), self.n), -1)
+                d = np.sqrt(((points[:, None] - members[t][None]) ** 2).sum(2))
                 for p, probe in enumerate(PROBES):
                     data[p, k : k + step] += pair_energy(probe, t, d).sum(1)
         self.data = data.reshape(len(PROBES), *self.n)
@@ -407,7 +407,7 @@ def search(ligand: Ligand, g: Grids, runs: int, seed: int) -> list[tuple[float,
 
 
 def dock(text, pdb, cx, cy, cz, sx, sy, sz, runs, seed, ph) -> str | None:
-    """The best poses as JSON; None for nulls, molecules without conformer, receptors without atoms and boxes that are empty or too large."""
+    """The best poses as JSON; None for nulls, molecules without conformer, receptors without atoms and boxes that are empty."""
     if any(v is None for v in (text, pdb, cx, cy, cz, sx, sy, sz, runs, seed, ph)):
         return None
     made = conformer(text, seed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 
 from retort.functions import molecules as M
+from retort.kernel import conformer, docking
 from retort.kernel import structures as S
 from retort.llm import leaks
 from retort.plans import queries, workflows
@@ -66,3 +67,13 @@ def test_leaks_of_any_size(spark, monkeypatch):
         got.append({tuple(r) for r in leaks.leaks(df, items).collect()})
     assert got[0] == got[1] == got[2] and {(1, 9, 8, 0), (None, 9, 0, 8)} <= got[0]
     assert leaks.leaks(df.limit(0), items).count() == 0 and leaks.leaks(df, items.limit(0)).count() == 0
+
+
+def test_conformers_and_boxes_of_any_size(monkeypatch):
+    monkeypatch.setattr(conformer, "TRIES", 1)
+    monkeypatch.setattr(conformer, "STEPS", 2)
+    mol, xyz = conformer.conformer("C" * 140, 1)
+    assert len(mol) == 422 and xyz.shape == (422, 3)
+    atom = queries.RECEPTOR.split("\n")[0]
+    assert '"score"' in docking.dock("CO", atom, 0.0, 0.0, 0.0, 25.0, 25.0, 25.0, 2, 7, 7.4)
+    assert docking.grids(atom, (0.0, 0.0, 0.0), (25.0, 25.0, 25.0), 7.4).n.prod() > 2_000_000
