@@ -58,7 +58,8 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_subset(spark: SparkSession, d: str) -> DataFrame:
     """The varied subset of every row of subset_plan, in the order chosen."""
-    chosen = variety.varied_subsets(variety.candidates(table(spark, d, "smiles")), table(spark, d, "subset_plan"))
+    rows, plan = table(spark, d, "smiles"), table(spark, d, "subset_plan")
+    chosen = variety.filled_subsets(variety.varied_subsets(variety.candidates(rows), plan), plan, rows)
     return chosen.select("plan_id", "place", F.col("id").alias("mol_id"))
 
 
