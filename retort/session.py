@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,15 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 200_000
 
 
+def folder_for(configured: str | None, master: str) -> str:
+    """The folder to share: the one configured, and without one a temporary folder where there is only this machine.
+
+    On a cluster a machine's own folder would hold a part of the rows on every machine, so there a missing folder is an error.
+    """
+    if configured:
+        return configured
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix="retort-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one only if the session names none."""
+    """The folder all executors share, as the session names it; see ``folder_for`` for sessions that name none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="retort-"))
+        sc.setCheckpointDir(folder_for(spark.conf.get("spark.checkpoint.dir", None), sc.master))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def path_of(uri: str) -> str:
+    """The path in a file name, however many slashes its scheme is written with."""
+    return urlparse(uri).path
+
+
 _WRITTEN: list[str] = []
 
 

@@ -7,8 +7,6 @@ import duckdb
 from retort.functions import molecules as M
 from retort.kernel import conformer, docking
 from retort.kernel import structures as S
-from retort.llm import leaks, variety
-from retort.llm import queries as llm
 from retort.plans import queries, workflows
 
 
@@ -56,20 +54,6 @@ def test_common_parts_without_bound():
     assert S.common_pairs(M.molecule("C" * 1200), M.molecule("C" * 1200)) == [(i, i) for i in range(1200)]
 
 
-def test_leaks_of_any_size(spark, monkeypatch):
-    item = "The keeper of Zandor measured 120 tons of silt while the old mill near Varnby turned slowly for 3 days"
-    swapped = item.replace("Zandor", "Kelmo").replace("120", "77").replace("tons", "kg").replace("Varnby", "Oster")
-    docs = [(1, item.upper()), (2, swapped), (3, None), (4, ""), (5, "noise " * 5_000 + item.lower()), (6, item.replace("silt", "sand")), (7, item.replace("Varnby", "Zandor")), (2, item), (None, swapped)]
-    df = spark.createDataFrame([*docs, *[(i, f"the old mill {i}") for i in range(100, 200)]], "doc_id bigint, text string")
-    items = spark.createDataFrame([(9, item), (10, None), (11, "too short"), (12, item.replace("mill", "Kelmo"))], "item_id bigint, text string")
-    got = []
-    for sent in (leaks.SENT, 10, 0):
-        monkeypatch.setattr(leaks, "SENT", sent)
-        got.append({tuple(r) for r in leaks.leaks(df, items).collect()})
-    assert got[0] == got[1] == got[2] and {(1, 9, 8, 0), (None, 9, 0, 8)} <= got[0]
-    assert leaks.leaks(df.limit(0), items).count() == 0 and leaks.leaks(df, items.limit(0)).count() == 0
-
-
 def test_conformers_and_boxes_of_any_size(monkeypatch):
     monkeypatch.setattr(conformer, "TRIES", 1)
     monkeypatch.setattr(conformer, "STEPS", 2)
@@ -78,16 +62,3 @@ def test_conformers_and_boxes_of_any_size(monkeypatch):
     atom = queries.RECEPTOR.split("\n")[0]
     assert '"score"' in docking.dock("CO", atom, 0.0, 0.0, 0.0, 25.0, 25.0, 25.0, 2, 7, 7.4)
     assert docking.grids(atom, (0.0, 0.0, 0.0), (25.0, 25.0, 25.0), 7.4).n.prod() > 2_000_000
-
-
-def test_subset_of_copies_is_filled(spark, tmp_path):
-    rows = [(i, "C" * (1 + i % 25) + "O", "a" if i % 2 else "b") for i in range(100)] + [(200, "bad(", "a"), (201, None, "a"), (None, "CO", "a")]
-    spark.createDataFrame(rows, "mol_id bigint, smiles string, source string").write.parquet(f"{tmp_path}/smiles.parquet")
-    spark.createDataFrame([(1, None, 60), (2, "a", 500), (3, "none", 4), (4, "b", 30), (5, "b", 3)], "plan_id int, source string, subset_size int").write.parquet(f"{tmp_path}/subset_plan.parquet")
-    got = {}
-    for r in llm.p3_subset(spark, str(tmp_path)).collect():
-        got.setdefault(r.plan_id, {})[r.place] = r.mol_id
-    assert {p: len(v) for p, v in got.items()} == {1: 60, 2: 50, 4: 30, 5: 3} and all(set(v) == set(range(1, len(v) + 1)) and len(set(v.values())) == len(v) for v in got.values())
-    assert set(got[2].values()) == set(range(1, 100, 2)) and all(i % 2 == 0 for i in got[4].values())
-    copies = [sum(i % 25 == k for i in got[1].values()) for k in range(25)]
-    assert sorted(copies) == [2] * 15 + [3] * 10 and {i % 25 for p, i in got[1].items() if p <= 25} == set(range(25))

@@ -58,11 +58,16 @@ def test_threshold_join_brute(spark):
 
 
 def test_written_and_released(spark):
-    from retort.session import checkpoint_dir, release, written
+    from retort.session import checkpoint_dir, folder_for, path_of, release, written
 
     df = written(spark.range(5), "five")
-    assert df.count() == 5 and df.inputFiles()[0].startswith(checkpoint_dir(spark))
+    assert df.count() == 5 and path_of(df.inputFiles()[0]).startswith(path_of(checkpoint_dir(spark)))
     assert release(spark) >= 1 and release(spark) == 0
+    assert path_of("file:///tmp/x") == path_of("file:/tmp/x") == path_of("/tmp/x")
+    assert folder_for("s3://shared/x", "yarn") == "s3://shared/x" and "retort-" in folder_for(None, "local[4]")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            folder_for(None, master)
 
 
 def test_metrics_edges(spark):
