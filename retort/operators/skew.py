@@ -10,8 +10,6 @@ from retort.session import BROADCAST_ROWS, written
 #: A key is hot above this many rows, or above one HOT_SHARE-th of all rows if that is more.
 HOT_ROWS = 20_000
 HOT_SHARE = 4_000
-#: Characters (as JSON) one hot row may have to be broadcast: with fewer than HOT_SHARE hot rows that bounds the whole.
-HOT_CHARS = 4_000
 #: Bytes of a written table (as stored) up to which all of it may be broadcast.
 SMALL_BYTES = 4 << 20
 #: Rows of one key that meet in one task at most; larger groups are cut into blocks that meet pairwise.
@@ -31,24 +29,23 @@ def hot_limit(total: int) -> int:
 def lookup(big: DataFrame, small: DataFrame, key: str, n: str, total: int, small_rows: int | None = None) -> DataFrame:
     """``big`` left-joined with ``small`` (one row per ``key``, with the key's row count ``n`` in ``big``).
 
-    ``total`` is the sum of ``n``. If ``small`` is counted and small, in rows and bytes, it is broadcast. Otherwise hot keys
-    (fewer than HOT_SHARE of them, by counting, of at most HOT_CHARS each) go through a broadcast, all others through a shuffle
-    in which the hot rows are spread by a random-looking null-safe key instead of meeting in one task.
+    ``total`` is the sum of ``n``. If ``small`` is counted and small, in rows and bytes, it is broadcast. Otherwise both sides are shuffled by key and share:
+    a hot key's row in ``small`` is repeated, once for every ``hot_limit`` rows it has in ``big``, and each of these goes to one of the repeats by its hash.
+    There are fewer than 2 * HOT_SHARE repeats in all, by counting, however long the rows are; only the hot keys' hashes are broadcast. Null keys match nothing
+    and are spread as well.
     """
     values = [c for c in small.columns if c != key]
     if small_rows is not None and small_rows <= BROADCAST_ROWS and stored_bytes(small) <= SMALL_BYTES:
         return big.join(F.broadcast(small), key, "left")
-    is_hot = (F.col(n) > hot_limit(total)) & (F.length(F.to_json(F.struct(*small.columns))) <= HOT_CHARS)
-    hot = small.filter(is_hot).select(key, F.struct(*values).alias("_hot"))
-    cold = small.filter(~is_hot | F.col(n).isNull()).select(F.col(key).alias("_ck"), F.struct(*values).alias("_cold"))
-    out = big.join(F.broadcast(hot), key, "left")
-    # Null never joins; the key of a hot row is replaced by null, which a left outer join keeps where it is spread by _spread.
-    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*big.columns), F.lit(512)) + 1)
-    out = out.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key))).withColumn("_spread", spread.cast("int"))
-    cold = cold.withColumn("_cs", F.lit(0))
-    out = out.join(cold, (F.col("_key") == F.col("_ck")) & (F.col("_spread") == F.col("_cs")), "left")
-    picked = F.coalesce("_hot", "_cold")
-    return out.select(*big.columns, *[picked[c].alias(c) for c in values])
+    limit = hot_limit(total)
+    # Keys are told by hash: one that only shares a hot key's hash is repeated like it, on both sides.
+    hot = small.filter(F.col(n) > limit).groupBy(F.xxhash64(key).alias("_h")).agg(F.max(F.ceil(F.col(n) / F.lit(limit))).cast("int").alias("_parts"))
+    right = small.select(F.xxhash64(key).alias("_h"), F.col(key).alias("_k"), F.struct(*values).alias("_v")).join(F.broadcast(hot), "_h", "left")
+    right = right.select("_k", "_v", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_s"))
+    share = F.pmod(F.xxhash64(*big.columns), F.when(F.col(key).isNull(), F.lit(512)).otherwise(F.coalesce("_parts", F.lit(1)))).cast("int")
+    left = big.withColumn("_h", F.xxhash64(key)).join(F.broadcast(hot), "_h", "left").withColumn("_share", share)
+    out = left.join(right, (F.col(key) == F.col("_k")) & (F.col("_share") == F.col("_s")), "left")
+    return out.select(*big.columns, *[F.col("_v")[c].alias(c) for c in values])
 
 
 def blocks(n: Column, size: int) -> Column:

@@ -39,6 +39,16 @@ def test_lookup_hot_key(spark):
         assert out.filter("k = 7").select("top").distinct().first()[0] == big.filter("k = 7").agg(F.max("id")).first()[0]
 
 
+def test_lookup_long_hot_rows(spark):
+    # A hot key of 20,000 characters: its row in the small table goes out in parts, and no task gets more than the limit of its rows.
+    text = F.when(F.col("id") < 60_000, F.lit("x" * 20_000)).when(F.col("id") < 80_000, F.lit(None).cast("string")).otherwise(F.concat(F.lit("k"), F.col("id").cast("string")))
+    big = spark.range(100_000).select(text.alias("k"), "id")
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    out = lookup(big, small, "k", "n", 100_000)
+    got = out.groupBy(F.length("k") > 1000).agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("least").alias("b"), F.sum((F.col("least") == F.col("id")).cast("int")).alias("own")).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == {True: (60_000, 0, 0, 1), None: (20_000, None, None, None), False: (20_000, 80_000, 99_999, 20_000)}
+
+
 def test_profile_columns(spark):
     df = spark.createDataFrame([(1, "CCO", 9), (2, None, 9), (3, "bad", 9), (4, "", 9), (5, "CCO", 9)], "id int, smiles string, mol_weight int")
     for distinct in (False, True):
