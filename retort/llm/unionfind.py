@@ -50,18 +50,22 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges to (node, root) rows; a long partition is folded into its forest every FOREST_EDGES edges."""
-    held, size = [], 0
+    """Edges to (node, root) rows; a long partition is folded into its forest now and then.
+
+    It is folded when the edges read since the last fold exceed both FOREST_EDGES and the nodes the forest has: every edge then pays for a bounded number of
+    nodes, so the work stays in proportion to the edges, and what is held to the edges and nodes of one partition's forest.
+    """
+    held, fresh, nodes_held = [], 0, 0
 
     def fold() -> tuple[np.ndarray, np.ndarray]:
         return roots(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
 
     for batch in batches:
         held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-        size += batch.num_rows
-        if size > FOREST_EDGES:
+        fresh += batch.num_rows
+        if fresh > max(FOREST_EDGES, nodes_held):
             held = [fold()]
-            size = len(held[0][0]) // 2
+            fresh, nodes_held = 0, len(held[0][0])
     if held:
         nodes, top = fold()
         for k in range(0, len(nodes), 100_000):

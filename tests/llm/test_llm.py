@@ -68,6 +68,22 @@ def test_components(spark, kind, size):
     assert len(set(zip(got.values(), (want[k] for k in got), strict=True))) == len(set(got.values())) == len(set(want.values()))
 
 
+def test_forest_folds_in_proportion(monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    kept = unionfind.roots
+    monkeypatch.setattr(unionfind, "FOREST_EDGES", 5_000)
+    monkeypatch.setattr(unionfind, "roots", lambda a, b: calls.append(len(a)) or kept(a, b))
+    for n in (20_000, 80_000):
+        calls.clear()
+        # Disjoint edges: nothing a fold could save.
+        batches = (pa.RecordBatch.from_arrays([pa.array(range(2 * k, 2 * k + 2000, 2)), pa.array(range(2 * k + 1, 2 * k + 2001, 2))], ["a", "b"]) for k in range(0, n, 1000))
+        out = {x: y for b in unionfind._forest(batches) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        assert len(out) == 2 * n and all(y == x - x % 2 for x, y in out.items())
+        assert sum(calls) <= 4 * n and len(calls) <= 6
+
+
 def test_found_groups(spark, data):
     rows = rows_of(data, "smiles", "mol_id", "smiles", "author")
     edges = [(("id", i), ("s", structure(s))) for i, s, _ in rows if structure(s)] + [(("id", i), ("a", author(a))) for i, _, a in rows if author(a)]
