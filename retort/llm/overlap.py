@@ -74,7 +74,9 @@ def similar_classes(sets: DataFrame, threshold: float = 0.6, least: int = 3, sma
     near = meet(subsets, subsets, "key").filter("x.set_id < y.set_id").select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
     # The large half: the inverted lists of prefix tokens, scanned for the large sets.
     prefix = n - F.ceil(n * F.lit(float(t))).cast("int") + 1
-    lists = written(sets.select("set_id", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token")), "lists")
+    # Small sets that no large one can be similar to are in no list.
+    listed = sets.filter(n * t.denominator >= (small + 1) * t.numerator)
+    lists = written(listed.select("set_id", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token")), "lists")
     x, y = F.col("x"), F.col("y")
     sizes_ok = (x["n"] * t.denominator >= y["n"] * t.numerator) & (y["n"] * t.denominator >= x["n"] * t.numerator)
     # What can still be shared from the two positions on bounds the overlap; the first shared token of a similar pair passes.
@@ -131,5 +133,19 @@ def similar_rows(sets: DataFrame, members: DataFrame, pairs: DataFrame) -> DataF
     return inside.unionAll(across)
 
 
+def similar_members(sets: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(id, class_id, copies, links)`` of every row: its class as the pairs name it, how many rows the class has, and with how many other rows it is similar.
+
+    The row links of a pair of classes are all pairs of their members, and those within a class all pairs of its members: nothing is lost by not writing them out.
+    """
+    size = sets.select("set_id", "n")
+    ends = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = ends.join(size.select(F.col("set_id").alias("b"), "n"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("far"))
+    linked = size.join(far, "set_id", "left").select("set_id", F.col("n").alias("copies"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    linked = written(linked, "linked")
+    out = lookup(members, linked, "set_id", "copies", members.count(), linked.count())
+    return out.select("id", F.col("set_id").alias("class_id"), "copies", "links")
+
+
 def mixture_tokens(df: DataFrame) -> F.Column:
     return structure(F.col("smiles"))

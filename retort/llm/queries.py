@@ -25,6 +25,12 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return placed.select(F.col("id").alias("mol_id"), "group_id", "split_name")
 
 
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and achieved share of every split."""
+    shares = splits.split_shares(table(spark, d, "split_plan"))
+    return splits.achieved_shares(splits.assign_splits(_p1(spark, d), shares), shares)
+
+
 def _p4(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     df = table(spark, d, "smiles")
     sets, members = overlap.distinct_sets(df, overlap.mixture_tokens(df))
@@ -41,6 +47,11 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return _p4(spark, d)[2]
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every mixture with its class in ``p4_classes``, the number of rows of that class, and the number of rows it is similar to."""
+    return overlap.similar_members(*_p4(spark, d)).withColumnRenamed("id", "mol_id")
+
+
 def _p5(spark: SparkSession, d: str) -> DataFrame:
     df = dedup.both_tables(table(spark, d, "smiles"), table(spark, d, "selfies"))
     return dedup.duplicates(df, dedup.molecule_fields(df), {"smiles"})
@@ -104,6 +115,6 @@ def p8_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p3_subset, p4_found, p4_classes, p5_found, p5_kept, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_pages)
+    for f in (p1_found, p1_splits, p1_shares, p3_subset, p4_found, p4_classes, p4_members, p5_found, p5_kept, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_pages)
 }
 SQL: dict[str, str] = {}

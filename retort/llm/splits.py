@@ -121,6 +121,18 @@ def assign_splits(groups: DataFrame, shares: list[tuple[str, float]]) -> DataFra
     return lookup(groups, placed, "label", "held", groups.count(), placed.count()).select(*groups.columns, "split_name")
 
 
+def achieved_shares(placed: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
+    """``(split_name, target_share, rows, groups, share)``: what ``assign_splits`` made of the shares; a split without rows has zeros. Shares are null where there are no rows at all."""
+    spark = placed.sparkSession
+    # Groups are counted by label first, so that a split of most rows is no single group of the count.
+    held = placed.groupBy("split_name", "label").agg(F.count("*").alias("n")).groupBy("split_name").agg(F.sum("n").alias("rows"), F.count("*").alias("groups"))
+    whole = sum(x for _, x in shares) or 1.0
+    wanted = spark.createDataFrame([(name, x / whole) for name, x in shares], "split_name string, target_share double")
+    out = wanted.join(held, "split_name", "left").select("split_name", "target_share", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("groups", F.lit(0)).alias("groups"))
+    total = out.agg(F.sum("rows")).first()[0]
+    return out.withColumn("share", F.col("rows") / F.lit(total or None))
+
+
 def molecule_ties(df: DataFrame) -> dict[str, F.Column]:
     """Author and structure, as text that is equal exactly if they are the same."""
     parts = F.array_sort(structure(F.col("smiles")))

@@ -107,6 +107,11 @@ def test_split_edges(spark):
     assert {r.split_name for r in splits.assign_splits(groups, []).collect()} == {None}
     empty = splits.related_groups(df.limit(0), splits.molecule_ties(df))
     assert splits.assign_splits(empty, [("train", 1.0)]).count() == 0
+    wanted = [("train", 0.5), ("test", 0.3), ("none", 0.0)]
+    report = {r.split_name: r for r in splits.achieved_shares(splits.assign_splits(groups, wanted), wanted).collect()}
+    assert set(report) == {"train", "test", "none"} and sum(r.rows for r in report.values()) == len(rows) and abs(sum(r.share for r in report.values()) - 1) < 1e-9
+    assert report["train"].target_share == 0.5 / 0.8 and report["none"].rows == 0
+    assert {r.share for r in splits.achieved_shares(splits.assign_splits(empty, wanted), wanted).collect()} == {None}
 
 
 def test_greedy_is_greedy():
@@ -152,6 +157,23 @@ def test_subsets(spark, monkeypatch):
     assert variety.varied_subsets(variety.candidates(df.limit(0)), plan).count() == 0
 
 
+def test_subsets_of_any_size(spark, monkeypatch):
+    """Either side of the size from which the candidates are cut into shards: as many rows as asked for, each kind taken before its copies."""
+    rows = [(i, "C" * (1 + i % 97) + "OCCN"[: 1 + i % 4], "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "mol_id bigint, smiles string, source string")
+    cand = variety.candidates(df)
+    n = cand.count()
+    plan = spark.createDataFrame([(1, None, 20), (2, "a", n - 1), (3, "a", n), (4, "a", n + 50), (5, "a", 7), (None, "a", 3), (5, "a", 21)], "plan_id int, source string, subset_size int")
+    for places in (10_000, 20, 6):
+        monkeypatch.setattr(variety, "PLACES", places)
+        monkeypatch.setattr(variety, "BUCKET", 40)
+        got = defaultdict(list)
+        for r in variety.varied_subsets(cand, plan).collect():
+            got[r.plan_id].append((r.place, r.id))
+        assert {p: len(v) for p, v in got.items()} == {1: 20, 2: n - 1, 3: n, 4: n, 5: 21}
+        assert all(sorted(p for p, _ in v) == list(range(1, len(v) + 1)) and len({i for _, i in v}) == len(v) for v in got.values())
+
+
 # --- similar pairs -----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -173,6 +195,11 @@ def test_pairs_brute(spark, small):
     want = brute_pairs({i: frozenset(x for x in s if x) for i, s in rows if i is not None and s and len({x for x in s if x}) >= 3}, 0.6)
     got = [tuple(r) for r in overlap.similar_rows(sets, members, overlap.similar_classes(sets, small=small)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    links = Counter(x for pair in want for x in pair)
+    held = {r.id: r for r in overlap.similar_members(sets, members, overlap.similar_classes(sets, small=small)).collect()}
+    kept = {i: frozenset(x for x in s if x) for i, s in rows if i is not None and s and len({x for x in s if x}) >= 3}
+    assert set(held) == set(kept) and all(held[i].links == links[i] for i in kept)
+    assert all((held[i].class_id, held[i].copies) == (min(j for j in kept if kept[j] == kept[i]), sum(k == kept[i] for k in kept.values())) for i in kept)
     empty = overlap.distinct_sets(df.limit(0), F.col("tags"))
     assert overlap.similar_rows(*empty, overlap.similar_classes(empty[0])).count() == 0
 
@@ -285,8 +312,22 @@ def test_mixing(spark):
 
 
 def test_pieces():
-    for text in ("", "a" * 50, "ab cd " * 20, " " * 30):
-        assert "".join(mixing.pieces(text, 10)) == text and all(len(p) <= 10 for p in mixing.pieces(text, 10))
+    for text in ("", "a" * 50, "ab cd " * 20, " " * 30, "x1y22z " * 9):
+        assert "".join(mixing.pieces(text, 10)) == text
+    assert max(map(len, mixing.pieces("ab cd " * 20, 10))) <= 16 and mixing.pieces("a" * 50, 10) == ["a" * 50]
+
+
+def test_tokens_do_not_depend_on_pieces():
+    path = Path(mixing.TOKENIZERS, mixing.VOCABULARY)
+    if not path.exists():
+        pytest.skip("no vocabulary files here")
+    encode = mixing._encoding("test", path.read_bytes()).encode_ordinary
+    rnd = random.Random(4)
+    image = "".join(rnd.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(3000))
+    texts = [image, "it's 12ab  two\n\n three's\t x1 " * 60, "é²Ⅷ1a ٣b " * 80, "don't we'll I've " * 90, "   lead  " * 90, "}{;:\n  if (x==1)  {\n" * 60, "aaaa" * 500]
+    for text in texts:
+        for size in (1, 7, 64, 1000, 1 << 20):
+            assert [t for p in mixing.pieces(text, size) for t in encode(p)] == encode(text)
 
 
 # --- stuffed pages -----------------------------------------------------------------------------------------------------------------------------------
@@ -309,6 +350,21 @@ def test_pages(spark, data):
     assert queries.p8_found(spark, data).count() < queries.p8_pages(spark, data).count()
 
 
+def test_sample_is_bounded(spark):
+    pages = spark.createDataFrame([(i % 40, "x" * (1 + i)) for i in range(200)] + [(500, None)], "id bigint, text string")
+    everything = spam.sample(pages, 1000)
+    assert len(everything) == 200
+    few = spam.sample(pages, 1000, 3000)
+    assert sum(map(len, few)) <= 3000 and set(few) <= set(everything) and few and sorted(spam.sample(pages.repartition(3), 1000, 3000)) == sorted(few)
+    assert spam.sample(pages, 1000, 0) == [] and spam.sample(pages.limit(0)) == []
+
+
+def test_multisets(spark):
+    rows = [(["a", "b"], ["b", "a"], True), (["a", "a", "b"], ["a", "b", "b"], False), (["a", "b", "a"], ["b", "a", "a"], True), ([], [], True), (["a"], ["b"], False), (["a", "b"], ["a"], False)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>, want boolean")
+    assert df.filter(dedup.same_multiset(F.col("a"), F.col("b")) == F.col("want")).count() == len(rows)
+
+
 def test_viterbi_brute():
     import itertools
 
