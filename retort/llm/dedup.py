@@ -42,9 +42,10 @@ def fingerprint(fields: dict[str, Column], multisets: frozenset[str] | set[str],
 
 
 def same_multiset(a: Column, b: Column) -> Column:
-    """Equality of two arrays as multisets, by counting; arrays in equal order are recognised first."""
-    count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
-    return (a == b) | ((F.size(a) == F.size(b)) & F.forall(a, lambda x: count(a, x) == count(b, x)))
+    """Equality of two arrays as multisets. Arrays in equal order are recognised first; without repeats the sets are compared by hash; only arrays with repeats in another order are sorted, each by itself."""
+    size = F.size(a)
+    sets = (F.size(F.array_distinct(a)) == size) & (F.size(F.array_distinct(b)) == size)
+    return (a == b) | ((size == F.size(b)) & F.when(sets, F.size(F.array_except(a, b)) == 0).otherwise(F.array_sort(a) == F.array_sort(b)))
 
 
 def duplicates(df: DataFrame, fields: dict[str, Column], multisets: set[str] = frozenset(), id_col: str = "mol_id") -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import importlib
+import re
+import zlib
 from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -20,45 +22,51 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Rows a target table may have; more are refused.
 MOST_TARGETS = 10_000
-#: Characters of one piece that are encoded at once; longer texts are cut at a line end or space near it, so that a huge text needs no huge memory.
+#: Characters of one piece that are encoded at once, about; longer texts are cut where no word of the vocabulary's pattern reaches across.
 PIECE = 1 << 20
 
+#: A place no word reaches across: between an ASCII letter and a digit, or before a blank that follows a letter or digit.
+_CUT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[^\W_])(?= )")
 _ENCODINGS: dict[str, object] = {}
 
 
-def _encoding(path: str):
-    """The tokenizer of a rank file, once per worker."""
-    if path not in _ENCODINGS:
+def _encoding(name: str, ranks: bytes):
+    """The tokenizer of a rank file's content, once per worker."""
+    if name not in _ENCODINGS:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
+        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         # Fixed value: the pattern by which this vocabulary's texts are cut into words before merging; the installed package's own is used where it is there.
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         try:
             pattern = importlib.import_module("public_tokenizers").PATTERN
         except (ImportError, AttributeError):
             pass
-        _ENCODINGS[path] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+        _ENCODINGS[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return _ENCODINGS[name]
 
 
 def pieces(text: str, size: int = PIECE) -> list[str]:
-    """The text, or parts of it that end before a space where one is near."""
+    """The text in parts of about ``size`` characters that are tokenized as the whole is: each ends where no word reaches across, however far off that is."""
     out, at = [], 0
     while len(text) - at > size:
-        cut = text.rfind(" ", at + size // 2, at + size)
-        cut = cut if cut > at else at + size
-        out.append(text[at:cut])
-        at = cut
+        cut = _CUT.search(text, at + size)
+        if cut is None:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
     return [*out, text[at:]]
 
 
 def token_count(text: Column, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> Column:
-    """Tokens of a text; a null text has none."""
+    """Tokens of a text; a null text has none. The vocabulary file (under a megabyte) is read by the driver and sent to the workers."""
+    ranks = Path(path).read_bytes()
+    sent = SparkSession.active().sparkContext.broadcast(ranks)
+    name = f"{path}-{zlib.crc32(ranks)}"
 
     @arrow_udf(T.LongType())
     def count(texts: pa.Array) -> pa.Array:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(name, sent.value).encode_ordinary
         return pa.array([0 if t is None else sum(len(encode(p)) for p in pieces(t)) for t in (x.as_py() for x in texts)], pa.int64())
 
     return count(text)
@@ -113,13 +121,14 @@ def counted(df: DataFrame, targets: list[Target], id_col: str = "doc_id", text_c
 
 def copies(docs: DataFrame, rate: dict[str, float], seed: int = 0) -> DataFrame:
     """``docs`` with ``copies``: floor(rate), and one more with the rate's fraction as probability, by a hash of id and seed."""
-    pairs = [F.struct(F.lit(s).alias("source"), F.lit(r).alias("rate")) for s, r in rate.items()]
-    if not pairs:
+    if not rate:
         return docs.withColumn("copies", F.lit(0)).limit(0)
-    table = F.map_from_entries(F.array(*pairs))
-    r = F.coalesce(F.element_at(table, F.col("source")), F.lit(0.0))
+    # At most MOST_TARGETS rows, joined by hash.
+    table = docs.sparkSession.createDataFrame(list(rate.items()), "_source string, _rate double")
+    docs = docs.join(F.broadcast(table), F.col("source") == F.col("_source"), "left")
+    r = F.coalesce("_rate", F.lit(0.0))
     draw = F.xxhash64("doc_id", "source", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    return docs.withColumn("copies", (F.floor(r) + F.when(draw < r - F.floor(r), 1).otherwise(0)).cast("int"))
+    return docs.withColumn("copies", (F.floor(r) + F.when(draw < r - F.floor(r), 1).otherwise(0)).cast("int")).drop("_source", "_rate")
 
 
 def mix(docs: DataFrame, targets: list[Target], total: float | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:

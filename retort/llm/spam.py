@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retort.session import written
+
 PROSE, WORK, LINKS, TAGS, MENU = range(5)
 STATES = ("prose", "work", "links", "tags", "menu")
 #: Levels of each feature, in the order of ``line_levels``.
@@ -28,6 +30,8 @@ WEIGHT = 64
 #: Pages the model is fitted on, and rounds of refitting.
 SAMPLE_PAGES = 2_000
 ROUNDS = 4
+#: Bytes of text the sample may have, all pages together; whole pages are left out, those with the largest hashes first.
+SAMPLE_BYTES = 128 << 20
 #: Share of words outside prose and work from which a page is flagged.
 SHARE = 0.5
 #: Bytes of text that are described at once.
@@ -294,18 +298,36 @@ def _counts(model: Model, ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *[pa.array(table[:, k]) for k in range(len(STATES))]], ["id", *STATES])
 
 
+def sample(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES) -> list[str]:
+    """Whole texts of about ``sample_pages`` pages (id, text): those with the smallest hashes of their ids, until they have ``sample_bytes`` bytes."""
+    total = pages.count()
+    chance = min(1.0, sample_pages / max(1, total))
+    hashed = pages.select("text", F.xxhash64("id").alias("h")).filter((F.col("h") / F.lit(2.0**64) + 0.5) < chance).filter("text is not null")
+    hashed = written(hashed.limit(2 * sample_pages), "sample")
+    # The sizes of at most twice as many pages go to the driver first, then only texts within the bound.
+    sizes = sorted((r[0], r[1]) for r in hashed.select("h", F.octet_length("text")).collect())
+    last, held = None, 0
+    for h, size in sizes:
+        held += size
+        if held > sample_bytes:
+            break
+        last = h
+    if last is None:
+        return []
+    within = sum(h <= last for h, _ in sizes)
+    # Pages of one id share a hash: those beyond the bound are left out as well.
+    return [r[0] for r in hashed.filter(F.col("h") <= last).orderBy("h", F.octet_length("text")).limit(within).select("text").collect()]
+
+
 def page_labels(df: DataFrame, model: Model | None = None, sample_pages: int = SAMPLE_PAGES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, prose, work, links, tags, menu, share)``: words of each page by line label, and the share of the last three.
 
-    The model is fitted on the pages with the smallest hashes of their ids, about ``sample_pages`` of them, unless one is given. Null and empty texts and texts without words
-    have a null share. Repeated ids are pages of their own. An empty table gives an empty result.
+    The model is fitted on the pages ``sample`` gives, unless one is given. Null and empty texts and texts without words have a null share. Repeated ids are pages of
+    their own. An empty table gives an empty result.
     """
     pages = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if model is None:
-        total = df.count()
-        chance = min(1.0, sample_pages / max(1, total))
-        chosen = pages.filter((F.xxhash64("id") / F.lit(2.0**64) + 0.5) < chance).filter("text is not null").limit(2 * sample_pages)
-        model = train([r[0] for r in chosen.select("text").collect()])
+        model = train(sample(pages, sample_pages))
     out = pages.mapInArrow(_label_pages(model), "id bigint, " + ", ".join(f"{s} bigint" for s in STATES))
     total = sum((F.col(s) for s in STATES[1:]), F.col(STATES[0]))
     spam = F.col("links") + F.col("tags") + F.col("menu")
