@@ -25,7 +25,8 @@ from retort.kernel import structures as S
 from retort.kernel.jsontext import dumps
 from retort.kernel.morgan import morgan_bits
 from retort.kernel.report import admet_json
-from retort.session import spread
+from retort.operators.skew import join_back
+from retort.session import spread, tasks, written
 from retort.kernel.writer import canonical_smiles, verbose_smiles, with_hydrogens
 
 #: Molecules a worker remembers.
@@ -228,7 +229,7 @@ def profile(df: DataFrame, text_col: str, fields: list[str], distinct: bool = Fa
     """``df`` with one column per field (and ``valid``), all from one parse of each text.
 
     With ``distinct`` each different text is computed once and joined back - worth it where texts repeat a lot and fields are dear.
-    Columns of ``df`` with a field's name are replaced. Null texts have null fields and ``valid`` null.
+    Hot texts and nulls stay spread over the tasks. Columns of ``df`` with a field's name are replaced. Null texts have null fields and ``valid`` null.
     """
     fields = list(dict.fromkeys(fields))
     keep = [c for c in df.columns if c not in (*fields, "valid")]
@@ -236,5 +237,8 @@ def profile(df: DataFrame, text_col: str, fields: list[str], distinct: bool = Fa
     picked = [F.when(F.col(text_col).isNotNull(), F.col("_profile.valid")).alias("valid"), *[F.col(f"_profile.{f}").alias(f) for f in fields]]
     if not distinct:
         return spread(df).select(*keep, make(F.col(text_col)).alias("_profile")).select(*keep, *picked)
-    texts = spread(df.select(F.col(text_col).alias("_text")).filter("_text is not null").distinct()).select("_text", make(F.col("_text")).alias("_profile"))
-    return df.select(*keep).join(texts, F.col(text_col) == F.col("_text"), "left").select(*keep, *picked)
+    texts = df.filter(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("_text")).agg(F.count("*").alias("_n"))
+    # Each text is computed once and written, since it is counted and then joined back.
+    made = written(texts.repartition(tasks(df.sparkSession), "_text").select("_text", "_n", make(F.col("_text")).alias("_profile")), "profile")
+    out = join_back(df.select(*keep, F.col(text_col).alias("_text")), made, "_text", "_n")
+    return out.select(*keep, *picked)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from retort.functions import dockings, inchi, molecules, texts3d
 from retort.functions.molecules import INT, TEXT, _column, molecule
@@ -84,6 +85,11 @@ def python_functions() -> dict:
     return out | texts3d.UDFS | dockings.UDFS | _PY
 
 
+def selfies_is_valid(text: Column) -> Column:
+    """Whether a text has a token's brackets; null for null."""
+    return F.contains(text, F.lit("[")) & F.contains(text, F.lit("]"))
+
+
 def native_functions() -> dict[str, tuple[str, str, str]]:
     """Functions that are SQL expressions: arguments, type, expression."""
     methods = json.dumps(list(structures.HASH_METHODS), separators=(",", ":"))

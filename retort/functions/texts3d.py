@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from retort.functions.molecules import BOOL, DOUBLE, INT, TEXT, _column
+from retort.functions.molecules import _ARROW, BOOL, DOUBLE, INT, TEXT, _column
 from retort.kernel import blocks, coords
 from retort.kernel.jsontext import dumps
+from retort.session import spread
 
 _AXES = "xyz"
 #: Texts up to this length are remembered after parsing, so that several functions in one projection parse them once.
@@ -38,20 +39,28 @@ def _sites(text: str | None) -> list[coords.Site] | None:
     return None if text is None else _short_sites(text) if len(text) <= SHORT else coords.read_structure(text)
 
 
-def _spread(points: np.ndarray) -> float | None:
-    """Root mean square distance from the mean point; None without points."""
+def _measure(points: np.ndarray) -> dict[str, float | None]:
+    """Root mean square distance from the mean point, and mean and bounds by axis; None without points."""
     if not len(points):
-        return None
-    return float(np.sqrt(((points - points.mean(0)) ** 2).sum(1).mean()))
+        return {}
+    mean = points.mean(0)
+    out = {"radius_of_gyration": float(np.sqrt(((points - mean) ** 2).sum(1).mean()))}
+    for name, values in (("centroid", mean), ("min", points.min(0)), ("max", points.max(0))):
+        out |= dict(zip((f"{name}_{a}" for a in _AXES), values.tolist(), strict=True))
+    return out
 
 
 def _extents(prefix: str, points: Callable) -> dict[str, tuple]:
-    """Mean, spread and bounds of the points a parsed text has; null without points."""
-    out = {f"{prefix}_radius_of_gyration": (DOUBLE, lambda p: _spread(points(p)))}
-    for k, axis in enumerate(_AXES):
-        for name, take in ((f"centroid_{axis}", np.mean), (f"min_{axis}", np.min), (f"max_{axis}", np.max)):
-            out[f"{prefix}_{name}"] = (DOUBLE, lambda p, k=k, take=take: float(take(points(p)[:, k])) if len(points(p)) else None)
-    return out
+    """Mean, spread and bounds of the points a parsed text has; null without points. The text measured last is remembered, so that the fields of one text measure it once."""
+    last: list = [None, {}]
+
+    def get(parsed, name: str) -> float | None:
+        if last[0] is not parsed:
+            last[:] = parsed, _measure(points(parsed))
+        return last[1].get(name)
+
+    names = ["radius_of_gyration", *(f"{n}_{a}" for n in ("centroid", "min", "max") for a in _AXES)]
+    return {f"{prefix}_{n}": (DOUBLE, lambda p, n=n: get(p, n)) for n in names}
 
 
 BLOCK_FIELDS: dict[str, tuple] = {
@@ -93,7 +102,7 @@ UDFS |= {n: _column(_of(f, _sites), kind, n) for n, (kind, f) in STRUCTURE_FIELD
 
 
 def _model_count(text: str | None):
-    return None if text is None else STRUCTURE_FIELDS["structure_model_count"][1](coords.read_structure(text) or [])
+    return None if text is None else STRUCTURE_FIELDS["structure_model_count"][1](_sites(text) or [])
 
 
 def _property(text: str | None, key: str | None):
@@ -121,6 +130,35 @@ UDFS |= {
     "sdf_properties_json": _column(_sdf_properties, TEXT, "sdf_properties_json"),
 }
 
+
+
+def _profile_udf(table: dict[str, tuple], names: tuple[str, ...], parse: Callable):
+    schema = T.StructType([T.StructField(n, table[n][0]) for n in names])
+
+    def run(texts: pa.Array) -> pa.Array:
+        columns: list[list] = [[] for _ in names]
+        for found in map(parse, texts.to_pylist()):
+            for values, n in zip(columns, names, strict=True):
+                values.append(None if found is None else table[n][1](found))
+        return pa.StructArray.from_arrays([pa.array(v, _ARROW[s.dataType]) for v, s in zip(columns, schema, strict=True)], list(names))
+
+    return arrow_udf(run, schema).asNondeterministic()
+
+
+def text_profile(df: DataFrame, text_col: str, fields: list[str]) -> DataFrame:
+    """``df`` with a column for each of the fields (``mol_block_...`` or ``structure_...``, one kind at a time), all from one parse and one Python call per text.
+
+    Texts that are null or can't be read have nulls (``structure_model_count`` is 0 for empty ones). Columns of ``df`` with a field's name are replaced.
+    """
+    names = tuple(dict.fromkeys(fields))
+    table, parse = (BLOCK_FIELDS, _block) if names[0] in BLOCK_FIELDS else (STRUCTURE_FIELDS, _sites)
+    keep = [c for c in df.columns if c not in names]
+    rest = [n for n in names if n != "structure_model_count"]
+    made = spread(df).select(*keep, _profile_udf(table, tuple(rest), parse)(F.col(text_col)).alias("_profile")) if rest else df.select(*keep)
+    columns = [UDFS[n](F.col(text_col)).alias(n) if n not in rest else F.col(f"_profile.{n}").alias(n) for n in names]
+    return made.select(*keep, *columns)
+
+
 _REAL = T.FloatType()
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from retort.functions import dockings, inchi, rules, screening, texts3d
 from retort.functions import molecules as M
 from retort.functions import similarity as S
-from retort.functions.registry import python_functions
+from retort.functions.registry import python_functions, selfies_is_valid
 from retort.operators import records
-from retort.operators.skew import meet
+from retort.operators.skew import join_back, meet
 from retort.plans import workflows
-from retort.session import spread, written
+from retort.session import spread, tasks, written
 from retort.sources.tables import table
 from retort.streaming import streams
 
@@ -146,7 +146,7 @@ def mol_mcs(spark: SparkSession, d: str) -> DataFrame:
     texts = both.filter("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("n"))
     # Pairs differ in cost: they are spread evenly, so that dear ones don't gather in one task.
     made = texts.repartition(4 * spark.sparkContext.defaultParallelism).select(F.struct("x", "y").alias("texts"), "n", M.call("mcs_smarts", "x", "y").alias("mcs_smarts"), M.call("mcs_json", "x", "y").alias("mcs_json"))
-    return workflows.join_back(both.select("a", "b", F.struct("x", "y").alias("texts")), written(made, "common"), "texts", "n").select("a", "b", "mcs_smarts", "mcs_json")
+    return join_back(both.select("a", "b", F.struct("x", "y").alias("texts")), written(made, "common"), "texts", "n").select("a", "b", "mcs_smarts", "mcs_json")
 
 
 @query()
@@ -231,7 +231,7 @@ def w_polymers(spark: SparkSession, d: str) -> DataFrame:
 def text_selfies(spark: SparkSession, d: str) -> DataFrame:
     """Every row as tokens and back."""
     rows = table(spark, d, "selfies").select("mol_id", M.call("smiles_to_selfies", "smiles").alias("selfies"))
-    return rows.select("mol_id", "selfies", M.call("selfies_to_smiles", "selfies").alias("back"), (F.contains("selfies", F.lit("[")) & F.contains("selfies", F.lit("]"))).alias("valid"))
+    return rows.select("mol_id", "selfies", M.call("selfies_to_smiles", "selfies").alias("back"), selfies_is_valid(F.col("selfies")).alias("valid"))
 
 
 # --- InChI -------------------------------------------------------------------------------------------------------------------------------------------
@@ -400,7 +400,7 @@ def f_rules(spark: SparkSession, d: str) -> DataFrame:
 def f_selfies(spark: SparkSession, d: str) -> DataFrame:
     """Alkanols as tokens and back."""
     rows = _parts(spark, d, _ALKANOL).select("p_partkey", M.call("smiles_to_selfies", "smiles").alias("selfies"))
-    return rows.select("p_partkey", "selfies", M.call("selfies_to_smiles", "selfies").alias("back"), (F.contains("selfies", F.lit("[")) & F.contains("selfies", F.lit("]"))).alias("valid"))
+    return rows.select("p_partkey", "selfies", M.call("selfies_to_smiles", "selfies").alias("back"), selfies_is_valid(F.col("selfies")).alias("valid"))
 
 
 @query(
@@ -492,7 +492,7 @@ def vs_docking(spark: SparkSession, d: str) -> DataFrame:
     ligand = dockings.UDFS["smiles_to_pdbqt"](F.col("smiles"), F.lit(1).cast("bigint")).alias("ligand")
     docked = written(out.select("smiles", "copies", "score", ligand), "docked")
     texts = [dockings.UDFS["prepare_receptor"](F.lit(RECEPTOR), F.lit(7.4)).alias("receptor"), dockings.UDFS["pdb_to_pdbqt"](F.lit(RECEPTOR)).alias("plain")]
-    return workflows.join_back(rows, docked, "smiles", "copies").select("mol_id", "smiles", "score", "ligand", *texts)
+    return join_back(rows, docked, "smiles", "copies").select("mol_id", "smiles", "score", "ligand", *texts)
 
 
 # --- MOL, SDF and structure texts --------------------------------------------------------------------------------------------------------------------
@@ -505,7 +505,7 @@ _ITEMS = "l_orderkey, l_linenumber, l_returnflag, l_quantity AS x, CAST(l_linenu
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem").selectExpr(*_ITEMS.split(", ", 5)[:5], "round(l_discount * 10, 2) AS z", f"{_SYMBOL} AS symbol")
     line = F.format_string("%10.4f%10.4f%10.4f %-3s 0  0", "x", "y", "z", "symbol")
-    orders = items.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("atoms"), F.count("*").alias("n"))
+    orders = items.repartition(tasks(spark), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("atoms"), F.count("*").alias("n"))
     head = F.format_string("order %d\n  made\n\n%3d  0  0  0  0  0  0  0  0  0999 V2000\n", "l_orderkey", "n")
     return orders.select("l_orderkey", F.concat(head, "atoms", F.lit("\nM  END\n> <ID>\n"), F.col("l_orderkey").cast("string"), F.lit("\n\n")).alias("block"))
 
@@ -525,11 +525,10 @@ _D_BLOCK_FORMULA = " || ".join(_D_COUNTED.format(c=f"count(*) FILTER (l_returnfl
 )
 def text_mol_blocks(spark: SparkSession, d: str) -> DataFrame:
     """A MOL text for every order, made and read again."""
-    rows = _blocks(spark, d)
-    call = lambda n: texts3d.UDFS[f"mol_block_{n}"](F.col("block"))
-    plain = [call(n).alias(n) for n in ("name", "formula", "num_atoms", "num_bonds", "has_3d")]
+    plain = ["name", "formula", "num_atoms", "num_bonds", "has_3d"]
+    rows = texts3d.text_profile(_blocks(spark, d), "block", [f"mol_block_{n}" for n in (*plain, "weight", *_EXTENTS)])
     prop = texts3d.UDFS["mol_block_property"](F.col("block"), F.lit("ID")).alias("id")
-    return rows.select("l_orderkey", *plain, F.round(call("weight"), 3).alias("weight"), prop, *[F.round(call(n), 3).alias(n) for n in _EXTENTS])
+    return rows.select("l_orderkey", *[F.col(f"mol_block_{n}").alias(n) for n in plain], F.round("mol_block_weight", 3).alias("weight"), prop, *[F.round(f"mol_block_{n}", 3).alias(n) for n in _EXTENTS])
 
 
 @query()
@@ -554,7 +553,14 @@ def text_sdf(spark: SparkSession, d: str) -> DataFrame:
 def _pdb(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem").selectExpr(*_ITEMS.split(", ", 5)[:5], "round(l_discount * 10, 2) AS z", f"{_SYMBOL} AS symbol")
     line = F.format_string("%-6s%5d  %-3s ALA %s%4d    %8.3f%8.3f%8.3f  1.00  0.00           %s", F.when(F.col("l_returnflag") == "R", "HETATM").otherwise("ATOM"), "l_linenumber", "symbol", "l_returnflag", "l_linenumber", "x", "y", "z", "symbol")
-    return items.groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    return items.repartition(tasks(spark), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+
+
+def read_structures(texts: DataFrame) -> DataFrame:
+    """Counts and extents of the structure in ``text`` of every order."""
+    counts = ["atom_count", "chain_count", "residue_count", "model_count"]
+    rows = texts3d.text_profile(texts, "text", [f"structure_{n}" for n in (*counts, *_EXTENTS)])
+    return rows.select("l_orderkey", *[F.col(f"structure_{n}").alias(n) for n in counts], *[F.round(f"structure_{n}", 3).alias(n) for n in _EXTENTS])
 
 
 _D_STRUCT = f"""WITH i AS ({_D_ITEMS}) SELECT l_orderkey, CAST(count(*) AS INTEGER) AS atom_count, CAST(count(DISTINCT l_returnflag) AS INTEGER) AS chain_count,
@@ -564,9 +570,7 @@ _D_STRUCT = f"""WITH i AS ({_D_ITEMS}) SELECT l_orderkey, CAST(count(*) AS INTEG
 @query(_D_STRUCT)
 def text_structures(spark: SparkSession, d: str) -> DataFrame:
     """A PDB text for every order, made and read again by the functions."""
-    call = lambda n: texts3d.UDFS[f"structure_{n}"](F.col("text"))
-    counts = [call(n).alias(n) for n in ("atom_count", "chain_count", "residue_count", "model_count")]
-    return _pdb(spark, d).select("l_orderkey", *counts, *[F.round(call(n), 3).alias(n) for n in _EXTENTS])
+    return read_structures(_pdb(spark, d))
 
 
 @query(_D_STRUCT)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from retort.functions import molecules as M
 from retort.functions import similarity as S
-from retort.operators.skew import blocks, lookup
-from retort.session import BROADCAST_ROWS, written
+from retort.operators.skew import blocks, join_back
+from retort.session import written
 
 
 def fingerprints(df: DataFrame, text_col: str, field: str = "morgan_fp_bits") -> DataFrame:
@@ -100,9 +100,3 @@ def scaffold_rollup(df: DataFrame, text_col: str) -> DataFrame:
     """Counts by generic scaffold, by Murcko scaffold within it, and over all; valid molecules only."""
     out = M.profile(df, text_col, ["generic_scaffold", "murcko_scaffold"], distinct=True).filter("valid")
     return out.rollup("generic_scaffold", "murcko_scaffold").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
-
-
-def join_back(df: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
-    """Per-key results on all rows, whatever share of them one key holds."""
-    rows = keyed.count()
-    return lookup(df, keyed, key, n, df.count(), rows if rows <= BROADCAST_ROWS else None)

@@ -61,7 +61,14 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for dear work after a shuffle: a stated number of partitions, which adaptive execution doesn't merge as it merges small ones."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` on at least as many partitions as there are cores, for dear row-wise work on inputs of few files; larger inputs are left where they are."""
+    """``df`` on at least as many partitions as there are cores, for dear row-wise work on inputs of few files; larger inputs, and those that come out of a shuffle, are left where they are."""
+    if df.isStreaming or "Adaptive" in df._jdf.queryExecution().executedPlan().getClass().getSimpleName():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
