@@ -58,8 +58,9 @@ METRICS_SQL = {
     "roc_auc": (
         "scores ARRAY<DOUBLE>, labels ARRAY<BOOLEAN>", "DOUBLE",
         f"CASE WHEN {_USABLE} THEN CASE WHEN {_POS} = 0 OR {_POS} = {_N} THEN double('NaN') ELSE "
-        "aggregate(arrays_zip(scores, labels), 0D, (t, a) -> t + if(a.labels, aggregate(arrays_zip(scores, labels), 0D, "
-        "(u, b) -> u + CASE WHEN b.labels THEN 0D WHEN b.scores > a.scores THEN 1D WHEN b.scores = a.scores THEN 0.5D ELSE 0D END), 0D)) "
+        f"aggregate({_RANKED}, struct(0D AS won, 0D AS before, 0D AS a, 0D AS i, double('NaN') AS s), (t, r) -> "
+        "if(t.s = r.s, struct(t.won + if(r.l, 0.5D * t.i, t.before + 0.5D * t.a) AS won, t.before AS before, t.a + if(r.l, 1D, 0D) AS a, t.i + if(r.l, 0D, 1D) AS i, r.s AS s), "
+        "struct(t.won + if(r.l, 0D, t.before + t.a) AS won, t.before + t.a AS before, if(r.l, 1D, 0D) AS a, if(r.l, 0D, 1D) AS i, r.s AS s)), t -> t.won) "
         f"/ (double({_POS}) * ({_N} - {_POS})) END END",
     ),
     "enrichment_factor": (

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from retort.operators.skew import hot_limit
+from retort.session import written
+
 NAN = float("nan")
+#: Cuts between the ranges of scores of a large group.
+SPLITS = 255
 
 
 def _ranked(scores: Column, labels: Column) -> Column:
@@ -24,15 +29,27 @@ def _positives(labels: Column) -> Column:
     return F.size(F.filter(labels, lambda x: x)).cast("double")
 
 
+def _won(ranked: Column) -> Column:
+    """Pairs of an active and an inactive in which the active scores lower, ties half: one pass over rows in rising order of score, with counts of those before and those tied."""
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("won"), zero.alias("before"), zero.alias("a"), zero.alias("i"), F.lit(NAN).alias("score"))
+
+    def step(acc: Column, r: Column) -> Column:
+        tied = acc["score"] == r["score"]
+        before = F.when(tied, acc["before"]).otherwise(acc["before"] + acc["a"])
+        a, i = F.when(tied, acc["a"]).otherwise(zero), F.when(tied, acc["i"]).otherwise(zero)
+        won = acc["won"] + F.when(r["label"], 0.5 * i).otherwise(before + 0.5 * a)
+        one = F.lit(1.0)
+        return F.struct(won.alias("won"), before.alias("before"), (a + F.when(r["label"], one).otherwise(zero)).alias("a"), (i + F.when(r["label"], zero).otherwise(one)).alias("i"), r["score"].alias("score"))
+
+    return F.aggregate(ranked, start, step, lambda acc: acc["won"])
+
+
 def roc_auc(scores: Column, labels: Column) -> Column:
     """Probability that an active scores below an inactive one, ties half. Null for null, empty or unequal lists and scores that aren't numbers; NaN with one class only."""
     pos, n = _positives(labels), F.size(scores).cast("double")
-    below = F.aggregate(
-        F.arrays_zip(scores.alias("s"), labels.alias("l")),
-        F.lit(0.0),
-        lambda acc, a: acc + F.when(a["l"], F.aggregate(F.arrays_zip(scores.alias("s"), labels.alias("l")), F.lit(0.0), lambda t, b: t + F.when(b["l"], 0.0).when(b["s"] > a["s"], 1.0).when(b["s"] == a["s"], 0.5).otherwise(0.0))).otherwise(0.0),
-    )
-    return F.when(_usable(scores, labels), F.when((pos == 0) | (pos == n), F.lit(NAN)).otherwise(below / (pos * (n - pos))))
+    won = _won(_ranked(scores.cast("array<double>"), labels))
+    return F.when(_usable(scores, labels), F.when((pos == 0) | (pos == n), F.lit(NAN)).otherwise(won / (pos * (n - pos))))
 
 
 def enrichment_factor(scores: Column, labels: Column, fraction: Column) -> Column:
@@ -61,29 +78,45 @@ def bedroc(scores: Column, labels: Column, alpha: Column) -> Column:
     return F.when(_usable(scores, labels) & alpha.isNotNull(), F.when(good, _bedroc_of(total, n, pos, alpha)).otherwise(F.lit(NAN)))
 
 
-def metrics_by_group(df: DataFrame, group: list[str], score: str, label: str, tie: list[str], fraction: float = 0.1, alpha: float = 20.0) -> DataFrame:
+def _range_of(score: Column, cuts: Column) -> Column:
+    """How many of the rising ``cuts`` a score is above or equal to, by halving; null without cuts."""
+    steps = F.array(*[F.lit(1 << k) for k in range(SPLITS.bit_length() - 1, -1, -1)])
+    at = lambda p: F.get(cuts, p - 1)
+    return F.when(cuts.isNotNull(), F.aggregate(steps, F.lit(0), lambda p, x: p + F.when(F.coalesce(at(p + x) <= score, F.lit(False)), x).otherwise(0)))
+
+
+def metrics_by_group(df: DataFrame, group: list[str], score: str, label: str, tie: list[str], fraction: float = 0.1, alpha: float = 20.0, large: int | None = None) -> DataFrame:
     """``(*group, n, actives, roc_auc, enrichment, bedroc)`` per group; metrics are null where they are undefined.
 
     Rows with a null score, a score that isn't a number or a null label don't count. Equal scores share their mean rank for the first metric and are taken in the order of
-    ``tie`` for the others.
+    ``tie`` for the others. A group counts as large above ``large`` rows (by default as many as make a hot key).
 
-    Ranks come from counts, not from one sort per group: scores are grouped to (score) rows with their numbers of actives and inactives - folded before the shuffle -
-    and running sums over these give every rank; a window over one group holds its distinct scores, not its rows. The order within equal scores is only looked at
-    where a tie is cut by the fraction or where ranks of tied actives are needed, and then by a window over one (group, score).
+    Ranks come from counts, not from one sort per group: scores are grouped to (score) rows with their numbers of actives and inactives - folded before the shuffle.
+    Large groups are cut into ranges of scores (SPLITS of about equal size, from a mergeable sketch); running sums within a range and the sums of the ranges before
+    it give every rank, so no window holds a group. The order within equal scores is only looked at where a tie is cut by the fraction or where ranks of tied
+    actives are needed, and then by a window over one (group, score).
     """
     rows = df.select(*group, F.col(score).cast("double").alias("_s"), F.col(label).cast("boolean").alias("_l"), *tie)
     rows = rows.filter(F.col("_s").isNotNull() & ~F.isnan("_s") & F.col("_l").isNotNull())
+    names = [f"_h{k}" for k in range(len(group))]
+    here = [F.col(g).eqNullSafe(F.col(m)) for g, m in zip(group, names, strict=True)]
+    counts = rows.groupBy(*[F.col(g).alias(m) for g, m in zip(group, names, strict=True)]).agg(F.count("*").alias("_rows"), F.percentile_approx("_s", [(k + 1) / (SPLITS + 1) for k in range(SPLITS)], 10 * SPLITS).alias("_cuts"))
+    counts = written(counts, "groups")
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    # Fewer than HOT_SHARE groups, by counting, each with SPLITS numbers.
+    hot = counts.filter(F.col("_rows") > (hot_limit(total) if large is None else large)).select(*names, "_cuts")
     by = rows.groupBy(*group, "_s").agg(F.count("*").alias("_n"), F.count_if("_l").alias("_a"))
-    w = W.partitionBy(*group).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy(*group)
-    by = by.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_n").over(w), F.lit(0)),
-            "_actives_before": F.coalesce(F.sum("_a").over(w), F.lit(0)),
-            "_all": F.sum("_n").over(every),
-            "_pos": F.sum("_a").over(every),
-        }
-    )
+    by = written(by.join(F.broadcast(hot), here, "left").withColumn("_range", F.coalesce(_range_of(F.col("_s"), F.col("_cuts")), F.lit(0))).select(*group, "_s", "_n", "_a", "_range"), "scores")
+    ranges = by.groupBy(*group, "_range").agg(F.sum("_n").alias("_rn"), F.sum("_a").alias("_ra"))
+    every, before = W.partitionBy(*group), W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(
+        *[F.col(g).alias(m) for g, m in zip(group, names, strict=True)], F.col("_range").alias("_hr"), F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_rn0"),
+        F.coalesce(F.sum("_ra").over(before), F.lit(0)).alias("_ra0"), F.sum("_rn").over(every).alias("_all"), F.sum("_ra").over(every).alias("_pos"),
+    )
+    w = W.partitionBy(*group, "_range").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    by = by.withColumns({"_before": F.coalesce(F.sum("_n").over(w), F.lit(0)), "_actives_before": F.coalesce(F.sum("_a").over(w), F.lit(0))})
+    by = by.join(ranges, [*here, F.col("_range") == F.col("_hr")]).drop(*names, "_hr")
+    by = by.withColumns({"_before": F.col("_before") + F.col("_rn0"), "_actives_before": F.col("_actives_before") + F.col("_ra0")})
     n, a = F.col("_all").cast("double"), F.col("_pos").cast("double")
     top = F.least(F.greatest(F.floor(F.lit(fraction) * n + 0.5), F.lit(1)), F.col("_all"))
     # Inactives after an active: all that aren't before it nor tied with it, and half of those tied.

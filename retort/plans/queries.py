@@ -456,20 +456,31 @@ def vs_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 _D_LISTS = "WITH s AS (SELECT mol_id, score, label FROM screen WHERE score IS NOT NULL AND NOT isnan(score) AND label IS NOT NULL AND mol_id IS NOT NULL)"
+#: Rows of a molecule up to which they are made a list; beyond, the same metrics come from counts.
+LIST_ROWS = 10_000
 
 
 @query(
-    f"""{_D_LISTS}, r AS (SELECT mol_id, label, rank() OVER (PARTITION BY mol_id ORDER BY score) + (count(*) OVER (PARTITION BY mol_id, score) - 1) / 2.0 AS k FROM s)
-    SELECT mol_id, count(*) AS n, CASE WHEN sum(label::INT) = 0 OR sum(label::INT) = count(*) THEN NULL ELSE
-    round(1 - (sum(CASE WHEN label THEN k ELSE 0 END) - sum(label::INT) * (sum(label::INT) + 1) / 2.0) / (sum(label::INT) * (count(*) - sum(label::INT))), 6)::DOUBLE END AS roc_auc
-    FROM r GROUP BY mol_id"""
+    f"""{_D_LISTS}, r AS (SELECT mol_id, label, rank() OVER (PARTITION BY mol_id ORDER BY score) + (count(*) OVER (PARTITION BY mol_id, score) - 1) / 2.0 AS k,
+    row_number() OVER (PARTITION BY mol_id ORDER BY score, label) AS place, count(*) OVER (PARTITION BY mol_id)::DOUBLE AS n FROM s),
+    g AS (SELECT mol_id, max(n) AS n, sum(label::INT)::DOUBLE AS a, sum(CASE WHEN label THEN k ELSE 0 END)::DOUBLE AS ranks,
+    sum(CASE WHEN label AND place <= least(greatest(floor(0.1 * n + 0.5), 1), n) THEN 1 ELSE 0 END)::DOUBLE AS hits, sum(CASE WHEN label THEN exp(-20.0 * place / n) ELSE 0 END)::DOUBLE AS e FROM r GROUP BY mol_id)
+    SELECT mol_id, n::BIGINT AS n, CASE WHEN a > 0 AND a < n THEN round(1 - (ranks - a * (a + 1) / 2) / (a * (n - a)), 6)::DOUBLE END AS roc_auc,
+    CASE WHEN a > 0 THEN round((hits / least(greatest(floor(0.1 * n + 0.5), 1), n)) / (a / n), 6) END AS enrichment,
+    CASE WHEN a > 0 AND a < n THEN round((e / a) / ((1 / n) * ((1 - exp(-20.0)) / (exp(20.0 / n) - 1))) * (a / n) * ((exp(10.0) - exp(-10.0)) / 2)
+    / ((exp(10.0) + exp(-10.0)) / 2 - (exp(10.0 - 20.0 * a / n) + exp(-10.0 + 20.0 * a / n)) / 2) + 1 / (1 - exp(20.0 * (1 - a / n))), 6) END AS bedroc FROM g"""
 )
 def vs_lists(spark: SparkSession, d: str) -> DataFrame:
-    """The list form of a metric: how well targets are told apart for every molecule."""
-    rows = table(spark, d, "screen").filter("score is not null and not isnan(score) and label is not null and mol_id is not null")
-    lists = rows.groupBy("mol_id").agg(F.count("*").alias("n"), F.collect_list(F.struct("score", "label")).alias("rows"))
-    auc = screening.roc_auc(F.col("rows.score"), F.col("rows.label"))
-    return lists.select("mol_id", "n", F.when(~F.isnan(auc), F.round(auc, 6)).alias("roc_auc"))
+    """The list forms of the metrics: how well targets are told apart for every molecule."""
+    rows = table(spark, d, "screen").filter("score is not null and not isnan(score) and label is not null and mol_id is not null").select("mol_id", "score", "label")
+    many = written(rows.groupBy("mol_id").agg(F.count("*").alias("n")).filter(F.col("n") > LIST_ROWS), "many")
+    lists = rows.join(many, "mol_id", "left_anti").groupBy("mol_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("score", "label"))).alias("rows"))
+    scores, labels = F.col("rows.score"), F.col("rows.label")
+    values = [screening.roc_auc(scores, labels), screening.enrichment_factor(scores, labels, F.lit(0.1)), screening.bedroc(scores, labels, F.lit(20.0))]
+    names = ["roc_auc", "enrichment", "bedroc"]
+    out = lists.select("mol_id", "n", *[F.when(~F.isnan(v), F.round(v, 6)).alias(n) for v, n in zip(values, names, strict=True)])
+    long = screening.metrics_by_group(rows.join(many, "mol_id", "left_semi"), ["mol_id"], "score", "label", ["_l"])
+    return out.unionAll(long.select("mol_id", F.col("n").cast("bigint").alias("n"), *[F.round(n, 6).alias(n) for n in names]))
 
 
 #: A receptor of a serine and an aspartate, and the box the docking query searches.

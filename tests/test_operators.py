@@ -88,6 +88,28 @@ def test_metrics_edges(spark):
     assert metrics_by_group(df.limit(0), ["g"], "s", "l", ["t"]).count() == 0
 
 
+def test_metrics_of_large_groups(spark):
+    """One group holds most rows; either side of the size from which groups are cut into ranges, and with lists instead, the metrics are the same."""
+    from retort.functions import screening
+
+    rows = spark.range(6_000).select(
+        F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, None).otherwise("other").alias("g"), F.col("id").alias("t"), (F.xxhash64("id") % 7 == 0).alias("l"),
+        F.when(F.col("id") % 50 == 0, 1e12).when(F.col("id") % 3 == 0, F.round(F.xxhash64("id", F.lit(1)) / 1e18, 0)).otherwise(F.xxhash64("id", F.lit(2)) / 1e17).alias("s"),
+    )
+    got = [{r.g: tuple(None if x is None else round(x, 9) for x in r[1:]) for r in metrics_by_group(rows, ["g"], "s", "l", ["l", "t"], large=large).collect()} for large in (None, 100)]
+    lists = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("s", "l", "t"))).alias("r"))
+    s, l = F.col("r.s"), F.col("r.l")
+    listed = lists.select("g", F.size("r").alias("n"), F.size(F.filter(l, lambda x: x)).alias("a"), screening.roc_auc(s, l), screening.enrichment_factor(s, l, F.lit(0.1)), screening.bedroc(s, l, F.lit(20.0)))
+    assert got[0] == got[1] == {r.g: tuple(round(x, 9) for x in r[1:]) for r in listed.collect()} and got[0]["hot"][0] == 4_800
+
+
+def test_lists_either_side(spark, data, monkeypatch):
+    monkeypatch.setattr(queries, "LIST_ROWS", 3)
+    some = {tuple(r) for r in queries.vs_lists(spark, data).collect()}
+    monkeypatch.undo()
+    assert some == {tuple(r) for r in queries.vs_lists(spark, data).collect()}
+
+
 def test_sdf_source(spark, tmp_path):
     from retort.sources.sdf import read_csv, read_sdf, read_texts
     from tests.test_functions_sql import SDF
