@@ -136,6 +136,12 @@ def _last(hit: np.ndarray, record: np.ndarray, chars: np.ndarray, begin: np.ndar
 _tokenize = arrow_udf(tokenize, TOKENS).asNondeterministic()
 
 
+def tokenized(df: DataFrame, line: str = "line") -> DataFrame:
+    """``df`` with ``error_at``, ``fields`` and ``starts`` of every record, as ``tokenize`` gives them; columns of these names are replaced."""
+    kept = df.drop(*TOKENS.names).columns
+    return df.select(*kept, _tokenize(F.col(line)).alias("_t")).select(*kept, *[F.col(f"_t.{n}").alias(n) for n in TOKENS.names])
+
+
 def _valid(texts: pa.Array) -> pa.Array:
     return pa.array([mol.is_valid(t) for t in texts.to_pylist()], pa.bool_())
 
@@ -186,21 +192,32 @@ def check_records(df: DataFrame, feed: Feed, line: str = "line") -> DataFrame:
     fields (``column_count``); an empty one has a single empty field. Reasons are null for good rows.
     The columns of ``df`` are kept whatever they are called, but for ``_fields``, ``reason``, ``at`` and ``column``, which are replaced.
     """
+    return _checked(df, [(F.lit(True), feed)], line)
+
+
+def check_feeds(df: DataFrame, feeds: dict[str, Feed], feed_col: str = "feed", line: str = "line") -> DataFrame:
+    """``check_records`` for records of several feeds in one pass, each by its own feed's columns and rules; records of other feeds, and of none, are left out."""
+    return _checked(df.filter(F.col(feed_col).isin(list(feeds))), [(F.col(feed_col) == name, feed) for name, feed in feeds.items()], line)
+
+
+def _checked(df: DataFrame, feeds: list[tuple[Column, Feed]], line: str) -> DataFrame:
+    kept = df.drop("_fields", "reason", "at", "column").columns
     out = df.drop("_fields", "reason", "at", "column").withColumn("_t", _tokenize(F.col(line)))
     fields, starts = F.col("_t.fields"), F.col("_t.starts")
-    width = len(feed.columns)
+    width = F.coalesce(*[F.when(mine, F.lit(len(feed.columns))) for mine, feed in feeds])
     known = F.col("_t.error_at").isNull() & (F.size(fields) == width)
-    value = {c: F.when(known, F.get(fields, F.lit(k))) for k, c in enumerate(feed.columns)}
-    # Every rule is evaluated as a column of its own first, so that a Python rule runs once.
-    out = out.select(*df.drop("_fields", "reason", "at", "column").columns, "_t", *[rule(value[c]).alias(f"_ok_{c}") for c, rule in feed.rules.items()])
-    bad = F.coalesce(*[F.when(~F.col(f"_ok_{c}"), F.lit(c)) for c in feed.columns if c in feed.rules])
-    bad_at = F.coalesce(*[F.when(~F.col(f"_ok_{c}"), F.get(starts, F.lit(k))) for k, c in enumerate(feed.columns) if c in feed.rules])
+    rules = [(f"_ok_{n}_{k}", k, c, mine, feed.rules[c]) for n, (mine, feed) in enumerate(feeds) for k, c in enumerate(feed.columns) if c in feed.rules]
+    # Every rule is evaluated as a column of its own first, so that a Python rule runs once, and only sees its feed's values.
+    out = out.select(*kept, "_t", *[rule(F.when(known & mine, F.get(fields, F.lit(k)))).alias(name) for name, k, _, mine, rule in rules])
+    wrong = [(mine & ~F.col(name), k, c) for name, k, c, mine, _ in rules]
+    bad = F.coalesce(*[F.when(w, F.lit(c)) for w, _, c in wrong])
+    bad_at = F.coalesce(*[F.when(w, F.get(starts, F.lit(k))) for w, k, _ in wrong])
     many = F.size(fields) > width
     return out.select(
-        *df.drop("_fields", "reason", "at", "column").columns,
+        *kept,
         F.when(known, fields).alias("_fields"),
         F.when(F.col("_t.error_at").isNotNull(), "quoting").when(~known, "column_count").when(bad.isNotNull(), "invalid_value").alias("reason"),
-        F.coalesce("_t.error_at", F.when(known, bad_at).when(many, F.get(starts, F.lit(width))).otherwise(F.coalesce(F.length(line), F.lit(0)))).alias("_at"),
+        F.coalesce("_t.error_at", F.when(known, bad_at).when(many, F.get(starts, width)).otherwise(F.coalesce(F.length(line), F.lit(0)))).alias("_at"),
         F.when(known, bad).alias("column"),
     ).withColumn("_at", F.when(F.col("reason").isNotNull(), F.col("_at"))).withColumnRenamed("_at", "at")
 

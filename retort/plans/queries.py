@@ -43,8 +43,8 @@ def _feed(spark: SparkSession, d: str, name: str, feed: records.Feed) -> DataFra
 
 
 def _both(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    parts = [records.rejected(_feed(spark, d, n, f)).select(*columns) for n, f in (("smiles", records.SMILES), ("inchi", records.INCHI))]
-    return parts[0].unionAll(parts[1])
+    """Rejected lines of both feeds, read once."""
+    return records.rejected(records.check_feeds(table(spark, d, "raw_lines"), {"smiles": records.SMILES, "inchi": records.INCHI})).select(*columns)
 
 
 @query()
@@ -71,6 +71,23 @@ def p2_inchi(spark: SparkSession, d: str) -> DataFrame:
     return records.typed(_feed(spark, d, "inchi", records.INCHI), records.INCHI, ["line_id", "file"])
 
 
+_D_FIELD = r"""("(?:[^"]|"")*"|[^",\r\n]*)"""
+_D_CSV = rf"""WITH q AS (SELECT line_id, line, regexp_full_match(line, '(?s){_D_FIELD}(?:,{_D_FIELD})*') AS ok, regexp_extract_all(',' || line, '(?s),{_D_FIELD}', 1) AS f FROM raw_lines WHERE feed IN ('smiles', 'inchi'))"""
+_D_UNQUOTED = "CASE WHEN reason IS NULL THEN CASE WHEN starts_with(f[{k}], '\"') THEN replace(f[{k}][2:-2], '\"\"', '\"') ELSE f[{k}] END END AS f{k}"
+
+
+@query(
+    f"""{_D_CSV}, r AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN line IS NULL OR len(f) <> 5 THEN 'column_count' END AS reason FROM q)
+    SELECT line_id, reason, {", ".join(_D_UNQUOTED.format(k=k) for k in range(1, 6))} FROM r"""
+)
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of every line whose quoting and number of columns are right, and which of the two is wrong with the others."""
+    rows = table(spark, d, "raw_lines").filter("feed in ('smiles', 'inchi')")
+    tokens = records.tokenized(rows.select("line_id", "line"))
+    reason = F.when(F.col("error_at").isNotNull(), "quoting").when(F.size("fields") != 5, "column_count").when(F.col("line").isNull(), "column_count")
+    return tokens.withColumn("reason", reason).select("line_id", "reason", *[F.when(F.col("reason").isNull(), F.get("fields", F.lit(k))).alias(f"f{k + 1}") for k in range(5)])
+
+
 # --- all functions over the given molecules ----------------------------------------------------------------------------------------------------------
 
 
@@ -278,18 +295,22 @@ def inchi_skeletons(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("skeleton").agg(F.min("mol_id").alias("keep_id"), F.count("*").alias("n"), F.countDistinct("mol_id").alias("molecules")).drop("skeleton")
 
 
+# Every third molecule also stands with a stereo layer of its own, under its negative number.
 @query(
-    f"""WITH s AS (SELECT mol_id, nullif(regexp_extract(inchi, '^InChI=[^/]*/([^/]*)', 1), '') AS f, {_D_SKELETON}, contains(inchi, '/t') AS stereo FROM inchi WHERE {_D_VALID}),
+    f"""WITH i AS (SELECT mol_id, inchi FROM inchi UNION ALL SELECT -mol_id, inchi || '/t1-' FROM inchi WHERE mol_id % 3 = 0),
+    s AS (SELECT mol_id, nullif(regexp_extract(inchi, '^InChI=[^/]*/([^/]*)', 1), '') AS f, {_D_SKELETON}, contains(inchi, '/t') AS stereo FROM i WHERE {_D_VALID}),
     d AS (SELECT DISTINCT * FROM s)
-    SELECT x.mol_id AS flat_id, y.mol_id AS stereo_id FROM d x JOIN d y ON x.f IS NOT DISTINCT FROM y.f AND x.c IS NOT DISTINCT FROM y.c AND x.h IS NOT DISTINCT FROM y.h
+    SELECT x.mol_id AS flat_id, y.mol_id AS stereo_id, true AS match FROM d x JOIN d y ON x.f IS NOT DISTINCT FROM y.f AND x.c IS NOT DISTINCT FROM y.c AND x.h IS NOT DISTINCT FROM y.h
     WHERE NOT x.stereo AND y.stereo"""
 )
 def inchi_skeleton_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one skeleton of which only the second has a tetrahedral layer, by an equi-join on the skeleton."""
-    rows = table(spark, d, "inchi").select("mol_id", "inchi", F.contains("inchi", F.lit("/t")).alias("stereo"), inchi.skeleton("inchi").alias("s")).filter("s is not null")
+    """Pairs of one skeleton of which only the second has a tetrahedral layer, by an equi-join on the skeleton, and what the function says of them."""
+    rows = table(spark, d, "inchi").select("mol_id", "inchi")
+    rows = rows.unionAll(rows.filter("mol_id % 3 = 0").select(-F.col("mol_id"), F.concat("inchi", F.lit("/t1-"))))
+    rows = rows.select("mol_id", "inchi", F.contains("inchi", F.lit("/t")).alias("stereo"), inchi.skeleton("inchi").alias("s")).filter("s is not null")
     rows = rows.groupBy("mol_id", "s", "stereo").agg(F.first("inchi").alias("inchi"))
     flat, stereo = rows.filter(~F.col("stereo")).select(F.col("mol_id").alias("flat_id"), F.col("inchi").alias("i")), rows.filter("stereo").select(F.col("mol_id").alias("stereo_id"), F.col("inchi").alias("j"))
-    return inchi.skeleton_join(flat, stereo, "i", "j").select("flat_id", "stereo_id")
+    return inchi.skeleton_join(flat, stereo, "i", "j").select("flat_id", "stereo_id", inchi.call("inchi_skeleton_match", "i", "j").alias("match"))
 
 
 # --- closed-form families ----------------------------------------------------------------------------------------------------------------------------
@@ -465,10 +486,10 @@ LIST_ROWS = 10_000
     row_number() OVER (PARTITION BY mol_id ORDER BY score, label) AS place, count(*) OVER (PARTITION BY mol_id)::DOUBLE AS n FROM s),
     g AS (SELECT mol_id, max(n) AS n, sum(label::INT)::DOUBLE AS a, sum(CASE WHEN label THEN k ELSE 0 END)::DOUBLE AS ranks,
     sum(CASE WHEN label AND place <= least(greatest(floor(0.1 * n + 0.5), 1), n) THEN 1 ELSE 0 END)::DOUBLE AS hits, sum(CASE WHEN label THEN exp(-20.0 * place / n) ELSE 0 END)::DOUBLE AS e FROM r GROUP BY mol_id)
-    SELECT mol_id, n::BIGINT AS n, CASE WHEN a > 0 AND a < n THEN round(1 - (ranks - a * (a + 1) / 2) / (a * (n - a)), 6)::DOUBLE END AS roc_auc,
-    CASE WHEN a > 0 THEN round((hits / least(greatest(floor(0.1 * n + 0.5), 1), n)) / (a / n), 6) END AS enrichment,
+    SELECT mol_id, n::BIGINT AS n, CASE WHEN a > 0 AND a < n THEN round(1 - (ranks - a * (a + 1) / 2) / (a * (n - a)), 6)::DOUBLE + 0 END AS roc_auc,
+    CASE WHEN a > 0 THEN round((hits / least(greatest(floor(0.1 * n + 0.5), 1), n)) / (a / n), 6) + 0 END AS enrichment,
     CASE WHEN a > 0 AND a < n THEN round((e / a) / ((1 / n) * ((1 - exp(-20.0)) / (exp(20.0 / n) - 1))) * (a / n) * ((exp(10.0) - exp(-10.0)) / 2)
-    / ((exp(10.0) + exp(-10.0)) / 2 - (exp(10.0 - 20.0 * a / n) + exp(-10.0 + 20.0 * a / n)) / 2) + 1 / (1 - exp(20.0 * (1 - a / n))), 6) END AS bedroc FROM g"""
+    / ((exp(10.0) + exp(-10.0)) / 2 - (exp(10.0 - 20.0 * a / n) + exp(-10.0 + 20.0 * a / n)) / 2) + 1 / (1 - exp(20.0 * (1 - a / n))), 6) + 0 END AS bedroc FROM g"""
 )
 def vs_lists(spark: SparkSession, d: str) -> DataFrame:
     """The list forms of the metrics: how well targets are told apart for every molecule."""
@@ -478,9 +499,10 @@ def vs_lists(spark: SparkSession, d: str) -> DataFrame:
     scores, labels = F.col("rows.score"), F.col("rows.label")
     values = [screening.roc_auc(scores, labels), screening.enrichment_factor(scores, labels, F.lit(0.1)), screening.bedroc(scores, labels, F.lit(20.0))]
     names = ["roc_auc", "enrichment", "bedroc"]
-    out = lists.select("mol_id", "n", *[F.when(~F.isnan(v), F.round(v, 6)).alias(n) for v, n in zip(values, names, strict=True)])
+    # Adding 0 makes one zero of both.
+    out = lists.select("mol_id", "n", *[F.when(~F.isnan(v), F.round(v, 6) + 0.0).alias(n) for v, n in zip(values, names, strict=True)])
     long = screening.metrics_by_group(rows.join(many, "mol_id", "left_semi"), ["mol_id"], "score", "label", ["_l"])
-    return out.unionAll(long.select("mol_id", F.col("n").cast("bigint").alias("n"), *[F.round(n, 6).alias(n) for n in names]))
+    return out.unionAll(long.select("mol_id", F.col("n").cast("bigint").alias("n"), *[(F.round(n, 6) + 0.0).alias(n) for n in names]))
 
 
 #: A receptor of a serine and an aspartate, and the box the docking query searches.
@@ -554,11 +576,15 @@ def text_mol_json(spark: SparkSession, d: str) -> DataFrame:
 )
 def text_sdf(spark: SparkSession, d: str) -> DataFrame:
     """The blocks of each customer's orders as one SDF text."""
+    prop = lambda n: texts3d.UDFS["sdf_property"](F.col("sdf"), F.lit(n), F.lit("ID"))
+    return _sdf(spark, d).select("o_custkey", texts3d.UDFS["sdf_count"](F.col("sdf")).alias("records"), prop(1).alias("first_id"), prop(0).alias("no_id"))
+
+
+def _sdf(spark: SparkSession, d: str) -> DataFrame:
+    """One SDF text for every customer: a customer has few orders."""
     rows = _blocks(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "block"))), lambda r: F.concat(r["block"], F.lit("$$$$\n")))
-    sdf = rows.groupBy("o_custkey").agg(F.array_join(blocks, "").alias("sdf"))
-    prop = lambda n: texts3d.UDFS["sdf_property"](F.col("sdf"), F.lit(n), F.lit("ID"))
-    return sdf.select("o_custkey", texts3d.UDFS["sdf_count"](F.col("sdf")).alias("records"), prop(1).alias("first_id"), prop(0).alias("no_id"))
+    return rows.repartition(tasks(spark), "o_custkey").groupBy("o_custkey").agg(F.array_join(blocks, "").alias("sdf"))
 
 
 def _pdb(spark: SparkSession, d: str) -> DataFrame:
@@ -640,9 +666,9 @@ def r_set_operations(spark: SparkSession, d: str) -> DataFrame:
     """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"""
 )
 def r_stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly counts by a stream with a watermark, run over all that is there."""
+    """Hourly counts by a stream that keeps all windows open, run over all that is there."""
     counts = streams.windowed_counts(streams.read_stream(spark, f"{d}/events.parquet*"), "ts", ["event_type"], "1 hour", "36500 days")
-    out = streams.run_all(counts, "complete")
+    out = streams.run_updates(counts, ["window", "event_type"])
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 

@@ -40,12 +40,18 @@ def path_of(uri: str) -> str:
 _WRITTEN: list[str] = []
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; ``release`` deletes it."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ from retort.functions import molecules as M
 from retort.functions.screening import metrics_by_group
 from retort.operators import records
 from retort.operators.skew import lookup
-from retort.plans import queries, workflows
+from retort.plans import formats, golden, queries, workflows
 
 
 def test_records(spark):
@@ -122,15 +122,65 @@ def test_sdf_source(spark, tmp_path):
     assert {r.name for r in read_csv(spark, str(tmp_path / "a.csv"), "name string, smiles string").collect()} == {'a "b"', "two\nlines"}
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_asof_edges(spark):
+    from retort.operators.ranges import asof_join
+
+    left = spark.createDataFrame([("a", 5.0, 1), ("a", 0.5, 2), ("b", 9.0, 3), (None, 9.0, 4), ("a", None, 5), ("a", 5.0, 1), ("a", 900.0, 6)], "k string, t double, prior_v int")
+    right = spark.createDataFrame([("a", 1.0, 10), ("a", 5.0, 11), ("a", 5.0, 12), ("a", 6.0, 13), ("b", 10.0, 14), ("b", None, 15), (None, 1.0, 16)], "k string, t double, v int")
+    for width in (0.7, 3.0, 1e6):
+        got = sorted((tuple(r) for r in asof_join(left, right, ["k"], "t", width).collect()), key=repr)
+        want = [("a", 5.0, 5.0, 12), ("a", 0.5, None, None), ("b", 9.0, None, None), (None, 9.0, None, None), ("a", None, None, None), ("a", 5.0, 5.0, 12), ("a", 900.0, 6.0, 13)]
+        assert got == sorted(want, key=repr)
+    assert asof_join(left.limit(0), right, ["k"], "t", 1.0).count() == 0 and asof_join(left, right.limit(0), ["k"], "t", 1.0).filter("prior_v is null").count() == 7
+
+
+def test_range_edges(spark):
+    from retort.operators.ranges import range_join
+
+    points = spark.createDataFrame([(0.0,), (1.0,), (-3.5,), (None,), (1.0,)], "p double")
+    ranges = spark.createDataFrame([(0.0, 1.0, "x"), (1.0, 1.0, "empty"), (-4.0, 2.0, "wide"), (None, 2.0, "null"), (1.0, 9.0, "y")], "a double, b double, n string")
+    got = sorted((r.p, r.n) for r in range_join(points, ranges, "p", "a", "b", 0.4).collect())
+    assert got == sorted([(0.0, "x"), (0.0, "wide"), (1.0, "wide"), (1.0, "y"), (1.0, "wide"), (1.0, "y"), (-3.5, "wide")])
+    assert range_join(points.limit(0), ranges, "p", "a", "b", 1.0).count() == 0
+
+
+def test_typed_twins_and_tables(spark):
+    from retort.functions import typed
+
+    typed.register_typed(spark)
+    spark.createDataFrame([(1, "CC(=O)O"), (2, None), (3, "bad("), (4, "")], "id int, s string").createOrReplaceTempView("texts")
+    rows = {r.id: r for r in spark.sql("SELECT id, ring_systems(s) AS r, structural_alerts(s) AS a, mol_substructure_matches(s, 'C=O') AS m, mcs(s, 'CC(=O)N') AS c, scaffold_network(s) AS n FROM texts").collect()}
+    assert rows[1].r == [] and rows[1].m[0].atom_indices == [2, 3] and rows[1].m[0].symbols == ["C", "O"] and rows[1].c.smarts == "C(C)=O" and rows[1].n.nodes[0].kind == "molecule"
+    assert all(v is None for i in (2, 3, 4) for v in rows[i][1:])
+    assert [tuple(r) for r in spark.sql("SELECT id, m.match FROM texts, LATERAL substructure_matches(s, 'C~O') m ORDER BY 1, 2").collect()] == [(1, 1), (1, 2)]
+    assert spark.sql("SELECT * FROM texts, LATERAL structure_atoms(s) a").count() == 0
+    words = spark.createDataFrame([("a", [3, -1]), ("a", [5, 0]), ("a", None), ("b", None)], "k string, w array<bigint>")
+    got = {r.k: (list(r.x), list(r.y)) for r in words.groupBy("k").agg(typed.any_words(F.col("w"), 2).alias("x"), typed.all_words(F.col("w"), 2).alias("y")).collect()}
+    assert got == {"a": ([7, -1], [1, 0]), "b": ([None, None], [None, None])}
+
+
+def test_feeds_in_one_pass(spark):
+    lines = [(1, "smiles", "a,CCO,C2H6O,3,2"), (2, "inchi", "a,InChI=1S/CH4,CH4,TRUE,1"), (3, "inchi", "a,CCO,x,,"), (4, "smiles", "a,InChI=1S/CH4,x,,"), (5, "other", "a"), (6, None, "a"), (7, "inchi", '"a,x'), (8, "smiles", None), (9, "inchi", "a,InChI=1S/CH4,CH4,TRUE,-1")]
+    df = spark.createDataFrame(lines, "line_id bigint, feed string, line string")
+    got = {r.line_id: (r.reason, r.column) for r in records.check_feeds(df, {"smiles": records.SMILES, "inchi": records.INCHI}).collect()}
+    assert got == {1: (None, None), 2: (None, None), 3: ("invalid_value", "inchi"), 4: ("invalid_value", "smiles"), 7: ("quoting", None), 8: ("column_count", None), 9: ("invalid_value", "stereo_centers")}
+    typed = records.typed(records.check_records(df.filter("feed = 'inchi'"), records.INCHI), records.INCHI, ["line_id"]).collect()
+    assert [(r.line_id, r.has_stereo, r.stereo_centers) for r in typed] == [(2, True, 1)]
+
+
+ALL_SQL = {name: (part, sql) for part in (queries, golden, formats) for name, sql in part.SQL.items()}
+
+
+@pytest.mark.parametrize("name", sorted(ALL_SQL))
 def test_queries_against_sql(spark, data, name):
     con = duckdb.connect()
     from pathlib import Path
 
     for p in Path(data).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    df = queries.QUERIES[name](spark, data)
-    want = con.execute(queries.SQL[name])
+    part, sql = ALL_SQL[name]
+    df = part.QUERIES[name](spark, data)
+    want = con.execute(sql)
     names = [c[0] for c in want.description]
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
     order = sorted(df.columns)
