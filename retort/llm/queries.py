@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retort.llm import dedup, leaks, mixing, overlap, spam, splits, variety
+from retort.llm.oracles import SQL  # noqa: F401
 from retort.sources.tables import table
 
 
@@ -25,6 +26,14 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return placed.select(F.col("id").alias("mol_id"), "group_id", "split_name")
 
 
+def p1_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every group of tied molecules with its size and the number of splits its members are in."""
+    placed = splits.assign_splits(_p1(spark, d), splits.split_shares(table(spark, d, "split_plan")))
+    # Counted by split first, so that a group of most rows is no single group of the count.
+    held = placed.groupBy("label", "group_id", "split_name").agg(F.count("*").alias("n"))
+    return held.groupBy("label", "group_id").agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("splits")).drop("label")
+
+
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and achieved share of every split."""
     shares = splits.split_shares(table(spark, d, "split_plan"))
@@ -74,6 +83,15 @@ def p3_subset(spark: SparkSession, d: str) -> DataFrame:
     return chosen.select("plan_id", "place", F.col("id").alias("mol_id"))
 
 
+def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows every plan got, how many of them are of its source, and how many different ones."""
+    rows = table(spark, d, "smiles").select("mol_id", F.col("source").alias("of"))
+    plan = table(spark, d, "subset_plan").select("plan_id", "source")
+    chosen = p3_subset(spark, d).join(rows, "mol_id").join(plan, "plan_id")
+    own = F.count_if(F.col("source").isNull() | (F.col("source") == F.col("of")))
+    return chosen.groupBy("plan_id").agg(F.count("*").alias("chosen"), own.alias("own"), F.countDistinct("mol_id").alias("different"))
+
+
 def _p6(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -103,6 +121,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d)[1]
 
 
+def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of every target's source, and whether none of those drawn is used more often than allowed."""
+    allowed = table(spark, d, "mix_targets").select(mixing.source_key(F.col("source")).alias("source"), "max_repeats")
+    mixture, report = _p7(spark, d)
+    most = mixture.groupBy("source", "doc_id").agg(F.count("*").alias("uses")).groupBy("source").agg(F.max("uses").alias("uses"))
+    out = report.select("source", "documents").join(most, "source", "left").join(allowed, "source")
+    return out.select("source", "documents", (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("within"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents most of whose words stand in link lists, tag lists or menus."""
     return spam.stuffed(spam.page_labels(table(spark, d, "documents"))).select("doc_id")
@@ -115,6 +142,5 @@ def p8_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_shares, p3_subset, p4_found, p4_classes, p4_members, p5_found, p5_kept, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_pages)
+    for f in (p1_found, p1_splits, p1_whole, p1_shares, p3_subset, p3_sizes, p4_found, p4_classes, p4_members, p5_found, p5_kept, p6_found, p6_leaks, p7_mix, p7_shares, p7_uses, p8_found, p8_pages)
 }
-SQL: dict[str, str] = {}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
+
 from retort.llm import leaks
 from retort.llm import queries as llm
 
@@ -31,3 +34,15 @@ def test_subset_of_copies_is_filled(spark, tmp_path):
     assert set(got[2].values()) == set(range(1, 100, 2)) and all(i % 2 == 0 for i in got[4].values())
     copies = [sum(i % 25 == k for i in got[1].values()) for k in range(25)]
     assert sorted(copies) == [2] * 15 + [3] * 10 and {i % 25 for p, i in got[1].items() if p <= 25} == set(range(25))
+
+
+@pytest.mark.parametrize("name", sorted(llm.SQL))
+def test_queries_against_sql(spark, data, name):
+    con = duckdb.connect()
+    for table in ("smiles", "selfies", "documents", "eval_items", "mix_targets", "subset_plan"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+    df = llm.QUERIES[name](spark, data)
+    want = con.execute(llm.SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(repr([r[c] for c in names]) for r in df.collect()) == sorted(repr(list(r)) for r in want.fetchall())
