@@ -23,7 +23,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, wid
     known = F.col("_at").isNotNull()
     for k in ks:
         known = known & F.col(k).isNotNull()
-    lost = x.filter(~known).select("_left.*", *[F.lit(None).cast(right.schema[c].dataType).alias(m) for c, m in zip(others, made, strict=True)])
+    keep = [c for c in left.columns if c not in made]
+    lost = x.filter(~known).select(*[F.col(f"_left.{c}").alias(c) for c in keep], *[F.lit(None).cast(right.schema[c].dataType).alias(m) for c, m in zip(others, made, strict=True)])
     both = r.unionByName(x.filter(known)).withColumn("_bucket", F.floor(F.col("_at") / F.lit(float(width))))
     # One row per key and bucket, folded before the shuffle.
     last = both.groupBy(*ks, "_bucket").agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_row"))).alias("_last"))
@@ -31,9 +32,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, wid
     w = W.partitionBy(*ks, "_bucket").orderBy("_at", "_side", "_row").rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn("_found", F.last("_row", True).over(w)).filter("_side = 1").join(carried, [*ks, "_bucket"], "left")
     picked = F.coalesce("_found", "_carry._row")
-    keep = [c for c in left.columns if c not in made]
     out = found.withColumn("_picked", picked).select(*[F.col(f"_left.{c}").alias(c) for c in keep], *[F.col(f"_picked.{c}").alias(m) for c, m in zip(others, made, strict=True)])
-    return out.unionByName(lost.select(*keep, *made))
+    return out.unionAll(lost)
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
