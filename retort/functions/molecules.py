@@ -190,7 +190,7 @@ def _mcs_json(a, b):
 UDFS |= {
     "mol_is_valid": _column(lambda t: None if t is None else M.is_valid(t), BOOL, "mol_is_valid"),
     "mol_has_substructure": _column(_matched(lambda p, v: p.found(v)), BOOL, "mol_has_substructure"),
-    "mol_substructure_count": _column(_matched(lambda p, v: len(p.unique(v))), INT, "mol_substructure_count"),
+    "mol_substructure_count": _column(_matched(lambda p, v: p.count(v)), INT, "mol_substructure_count"),
     "mol_substructure_matches_json": _column(_matched(_matches_json), TEXT, "mol_substructure_matches_json"),
     "mcs_smarts": _column(_pair(S.mcs_smarts), TEXT, "mcs_smarts"),
     "mcs_json": _column(_pair(_mcs_json), TEXT, "mcs_json"),

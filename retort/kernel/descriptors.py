@@ -151,22 +151,39 @@ def polar_surface(mol: Molecule) -> float:
 
 
 @lru_cache(maxsize=None)
-def _atom_type_rows(kind: tuple[str, bool]) -> list[tuple[object, float, float]]:
-    """The type patterns an atom of this kind can match, in order."""
-    rows = [(compile_pattern(text), logp, mr) for _, text, logp, mr in P.ATOM_TYPES]
-    return [r for r in rows if r[0].may_be(0, kind)]
+def _atom_types() -> list[tuple[object, float, float]]:
+    return [(compile_pattern(text), logp, mr) for _, text, logp, mr in P.ATOM_TYPES]
+
+
+@lru_cache(maxsize=None)
+def _atom_type_rows(kinds: frozenset) -> list[tuple[object, float, float]]:
+    """The type patterns that atoms of these kinds can match, in order."""
+    return [r for r in _atom_types() if any(r[0].may_be(0, kind) for kind in kinds)]
 
 
 def _atom_type_sums(mol: Molecule) -> tuple[float, float]:
+    """Sums over all atoms, hydrogens included, each by the first pattern that matches there."""
     full = with_hydrogens(mol)
     view = view_of(full)
-    logp = mr = 0.0
-    for i, kind in enumerate(zip(full.sym, full.arom, strict=True)):
-        for pattern, a, b in _atom_type_rows(kind):
-            if pattern.matches_at(view, i):
-                logp += a
-                mr += b
+    types: list = [None] * len(full)
+    left = (1 << len(full)) - 1
+    for pattern, a, b in _atom_type_rows(view.kind_set):
+        # Only where no earlier pattern matched is a search needed.
+        if view.mask(pattern.atoms[0]) & left:
+            hits = pattern.starts(view) & left
+            left ^= hits
+            while hits:
+                low = hits & -hits
+                types[low.bit_length() - 1] = (a, b)
+                hits ^= low
+            if not left:
                 break
+    # Added up in the order of atoms.
+    logp = mr = 0.0
+    for t in types:
+        if t is not None:
+            logp += t[0]
+            mr += t[1]
     return logp, mr
 
 
@@ -184,7 +201,7 @@ def _compiled(name: str) -> list:
 
 
 def _count(text: str, mol: Molecule) -> int:
-    return len(compile_pattern(text).unique(view_of(mol)))
+    return compile_pattern(text).count(view_of(mol))
 
 
 def _strict_rotatable(mol: Molecule) -> int:
@@ -200,7 +217,10 @@ def _strict_rotatable(mol: Molecule) -> int:
 
 def _aromatic_systems(mol: Molecule) -> int:
     """Rings left when aliphatic ring atoms are taken out."""
-    gone = {i for match in compile_pattern(P.ALIPHATIC_RING).unique(view_of(mol)) for i in match}
+    covered = 0
+    for cover in compile_pattern(P.ALIPHATIC_RING).covers(view_of(mol)):
+        covered |= cover
+    gone = {i for i in range(len(mol)) if covered >> i & 1}
     return len(mol.rings) if not gone else len(mol.subgraph(set(range(len(mol))) - gone).rings)
 
 
@@ -222,7 +242,7 @@ DESIRABILITY_CURVES = (
 def desirability_properties(mol: Molecule) -> tuple[float, ...]:
     view = view_of(mol)
     return (
-        weight(mol), logp(mol), float(sum(len(p.unique(view)) for p in _compiled("ACCEPTORS"))), float(_count(P.DONOR, mol)), polar_surface(mol),
+        weight(mol), logp(mol), float(sum(p.count(view) for p in _compiled("ACCEPTORS"))), float(_count(P.DONOR, mol)), polar_surface(mol),
         float(_strict_rotatable(mol)), float(_aromatic_systems(mol)), float(sum(p.found(view) for p in _compiled("UNWANTED"))),
     )
 
@@ -259,7 +279,7 @@ def structural_keys(mol: Molecule) -> bytes:
     view = view_of(mol)
     keys = {key for key, text in P.PRESENCE_KEYS if compile_pattern(text).found(view)}
     for text, limits in P.COUNT_KEYS:
-        n = len(compile_pattern(text).unique(view))
+        n = compile_pattern(text).count(view, 1 + max(more_than for more_than, _ in limits))
         keys |= {key for more_than, key in limits if n > more_than}
     numbers = {NUMBER.get(s, 0) for s in mol.sym}
     keys |= {key for key, members in ELEMENT_KEYS.items() if numbers & set(members)}

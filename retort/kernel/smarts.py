@@ -5,7 +5,9 @@ A pattern text is compiled once: every atom expression becomes a closure over a
 each atom the earlier atom it hangs on, and the ring-closing bonds that can be
 tested as soon as it is placed. A three-valued look at the expression alone tells
 which (element, aromatic) kinds can match an atom at all, so most patterns are
-settled for a molecule without a search.
+settled for a molecule without a search. Searches work on bit sets of atoms (whole
+numbers): what an atom expression allows, and what each atom reaches by an allowed
+bond, is one number each, made once per molecule.
 """
 
 from __future__ import annotations
@@ -24,6 +26,54 @@ class View:
         self.mol, self.sym, self.arom, self.adj = mol, mol.sym, mol.arom, mol.adj
         self.orders = [b[2] for b in mol.bonds]
         self.memo: dict = {}
+        self._masks: dict = {}
+        self._near: dict = {}
+        self._systems: dict = {}
+
+    def mask(self, atom: Atom) -> int:
+        """The atoms an expression allows, as bits."""
+        out = self._masks.get(atom)
+        if out is None:
+            out, test = 0, atom.test
+            for kind, members in self.kinds.items():
+                known = atom.kind(kind)
+                if known is not False:
+                    out |= self.kind_bits[kind] if known else sum(1 << i for i in members if test(self, i))
+            self._masks[atom] = out
+        return out
+
+    def near(self, table: tuple[bool, ...]) -> list[int]:
+        """For each atom those it reaches by a bond the table allows, as bits."""
+        out = self._near.get(table)
+        if out is None:
+            out = [0] * len(self.sym)
+            ring = self.mol.ring_bonds
+            for k, (a, b, order) in enumerate(self.mol.bonds):
+                if table[2 * order + ring[k]]:
+                    out[a] |= 1 << b
+                    out[b] |= 1 << a
+            self._near[table] = out
+        return out
+
+    def in_systems(self, size: int) -> int:
+        """The atoms of ring systems of at least that many atoms, as bits."""
+        out = self._systems.get(size)
+        if out is None:
+            out = self._systems[size] = sum(1 << i for i, n in enumerate(self.system_sizes) if n >= size)
+        return out
+
+    @cached_property
+    def system_sizes(self):
+        return _system_sizes(len(self.sym), [b[:2] for b, ring in zip(self.mol.bonds, self.mol.ring_bonds, strict=True) if ring])
+
+    @cached_property
+    def kind_bits(self):
+        return {kind: sum(1 << i for i in members) for kind, members in self.kinds.items()}
+
+    @cached_property
+    def simple(self):
+        """No two bonds between the same atoms."""
+        return len({(min(a, b), max(a, b)) for a, b, _ in self.mol.bonds}) == len(self.mol.bonds)
 
     @cached_property
     def number(self):
@@ -77,10 +127,16 @@ Test = Callable[[View, int], bool]
 class Atom:
     """An atom expression: the test, and ``may(symbol, aromatic)``, None where more than the kind decides."""
 
-    __slots__ = ("test", "may")
+    __slots__ = ("test", "may", "known")
 
     def __init__(self, test: Test, may=lambda s, a: None):
-        self.test, self.may = test, may
+        self.test, self.may, self.known = test, may, {}
+
+    def kind(self, kind: tuple[str, bool]) -> bool | None:
+        """``may``, remembered."""
+        if kind not in self.known:
+            self.known[kind] = self.may(*kind)
+        return self.known[kind]
 
 
 def _kind(predicate) -> Atom:
@@ -121,6 +177,7 @@ def _none(part: Atom) -> Atom:
     return Atom(lambda v, i: not test(v, i), may)
 
 
+@lru_cache(maxsize=None)
 def _element(symbol: str, aromatic: bool) -> Atom:
     return _kind(lambda s, a: a == aromatic and s == symbol)
 
@@ -331,7 +388,10 @@ class _Reader:
                 pending = ()
             else:
                 if c == "[":
+                    start = self.at
                     atom = self.bracket()
+                    # Expressions of one wording are one object, so that a molecule answers each once.
+                    atom = _ATOMS.setdefault(self.text[start : self.at], atom) if len(_ATOMS) < 10_000 else atom
                 elif c == "*":
                     atom = ANY
                 elif c == "A":
@@ -355,6 +415,22 @@ class _Reader:
         return atoms, bonds
 
 
+_ATOMS: dict[str, Atom] = {}
+
+
+def _system_sizes(n: int, bonds: list) -> list[int]:
+    """For each of n atoms how many the given bonds tie together with it."""
+    root = list(range(n))
+    for a, b in bonds:
+        x, y = root[a], root[b]
+        if x != y:
+            root = [x if r == y else r for r in root]
+    size = [0] * n
+    for r in root:
+        size[r] += 1
+    return [size[r] for r in root]
+
+
 class Pattern:
     """A compiled pattern; atom 0 is where a search is anchored."""
 
@@ -373,13 +449,11 @@ class Pattern:
             self.plan.append((*back[0], back[1:]) if back else None)
         self.connected = all(self.plan[1:]) and all(a != b for a, b, _ in bonds)
         self.able: dict[frozenset, bool] = {}
-        self.where: list[dict[tuple[str, bool], bool]] = [{} for _ in atoms]
+        # How many atoms hang together with each by bonds of cycles: as many the molecule's ring system must have at least.
+        self.ring_size = [size if size > 1 else 0 for size in _system_sizes(len(atoms), [b[:2] for b, cyclic in zip(graph.bonds, graph.ring_bonds, strict=True) if cyclic])]
 
     def may_be(self, k: int, kind: tuple[str, bool]) -> bool:
-        table = self.where[k]
-        if kind not in table:
-            table[kind] = self.atoms[k].may(*kind) is not False
-        return table[kind]
+        return self.atoms[k].kind(kind) is not False
 
     def possible(self, view: View) -> bool:
         """Whether every pattern atom has some atom in the molecule of a kind it may be."""
@@ -421,52 +495,143 @@ class Pattern:
 
         yield from extend(1)
 
+    def domains(self, view: View) -> list[int] | None:
+        """For each pattern atom the atoms it may be, as bits, narrowed from the last one back to the anchor; None if one has none."""
+        if not self.possible(view):
+            return None
+        out = []
+        for atom, size in zip(self.atoms, self.ring_size, strict=True):
+            m = view.mask(atom)
+            if size:
+                m &= view.in_systems(size)
+            if not m:
+                return None
+            out.append(m)
+        for k in range(len(out) - 1, 0, -1):
+            anchor, table, _ = self.plan[k]
+            near, left, reached = view.near(table), out[k], 0
+            while left:
+                low = left & -left
+                reached |= near[low.bit_length() - 1]
+                left ^= low
+            out[anchor] &= reached
+            if not out[anchor]:
+                return None
+        return out
+
+    def _fits(self, view: View, domains: list[int], start: int) -> bool:
+        """Whether there is an embedding with atom 0 at ``start``, which its domain holds."""
+        plan, n = self.plan, len(self.atoms)
+        if n <= 2:
+            return True
+        spot = [start] * n
+
+        def fits(k: int, used: int) -> bool:
+            anchor, table, others = plan[k]
+            left = view.near(table)[spot[anchor]] & domains[k] & ~used
+            for other, closing in others:
+                left &= view.near(closing)[spot[other]]
+            if k + 1 == n:
+                return left != 0
+            while left:
+                low = left & -left
+                spot[k] = low.bit_length() - 1
+                if fits(k + 1, used | low):
+                    return True
+                left ^= low
+            return False
+
+        return fits(1, 1 << start)
+
+    def starts(self, view: View) -> int:
+        """The atoms at which an embedding is anchored, as bits."""
+        if self not in view.memo:
+            out = 0
+            if view.simple:
+                domains = self.domains(view)
+                left = domains[0] if domains else 0
+                while left:
+                    low = left & -left
+                    if self._fits(view, domains, low.bit_length() - 1):
+                        out |= low
+                    left ^= low
+            else:
+                out = sum(1 << i for i in range(len(view.sym)) if next(self.placed(view, i), None) is not None)
+            view.memo[self] = out
+        return view.memo[self]
+
     def matches_at(self, view: View, start: int) -> bool:
         """Whether there is an embedding with atom 0 at ``start``."""
-        if not self.connected or not self.atoms[0].test(view, start):
-            return False
-        if len(self.atoms) == 1:
-            return True
-        adj, orders, atoms, plan, n, ring = view.adj, view.orders, self.atoms, self.plan, len(self.atoms), view.mol.ring_bonds
-        spot = [start]
+        return bool(self.starts(view) >> start & 1)
 
-        def fits(k: int) -> bool:
-            anchor, allowed, others = plan[k]
-            test = atoms[k].test
-            for v, b in adj[spot[anchor]]:
-                if v in spot or not allowed[2 * orders[b] + ring[b]] or not test(view, v):
-                    continue
-                for other, table in others:
-                    bond = next((x for u, x in adj[v] if u == spot[other]), None)
-                    if bond is None or not table[2 * orders[bond] + ring[bond]]:
-                        break
-                else:
-                    if k + 1 == n:
+    def found(self, view: View) -> bool:
+        if self in view.memo or not view.simple:
+            return self.starts(view) != 0
+        domains = self.domains(view)
+        left = domains[0] if domains else 0
+        while left:
+            low = left & -left
+            if self._fits(view, domains, low.bit_length() - 1):
+                return True
+            left ^= low
+        return False
+
+    def covers(self, view: View, most: int | None = None) -> set[int]:
+        """The different sets of atoms that embeddings cover, as bits; no more than ``most`` are looked for."""
+        if not view.simple:
+            return {sum(1 << i for i in spots) for spots in self.unique(view)}
+        domains = self.domains(view)
+        if domains is None:
+            return set()
+        plan, n, out = self.plan, len(self.atoms), set()
+        spot = [0] * n
+
+        def extend(k: int, used: int) -> bool:
+            anchor, table, others = plan[k]
+            left = view.near(table)[spot[anchor]] & domains[k] & ~used
+            for other, closing in others:
+                left &= view.near(closing)[spot[other]]
+            while left:
+                low = left & -left
+                left ^= low
+                if k + 1 == n:
+                    out.add(used | low)
+                    if len(out) == most:
                         return True
-                    spot.append(v)
-                    if fits(k + 1):
+                else:
+                    spot[k] = low.bit_length() - 1
+                    if extend(k + 1, used | low):
                         return True
-                    spot.pop()
             return False
 
-        return fits(1)
-
-    def anchors(self, view: View) -> Iterator[int]:
-        for kind, atoms in view.kinds.items():
-            if self.may_be(0, kind):
-                yield from atoms
+        left = domains[0]
+        while left:
+            low = left & -left
+            left ^= low
+            spot[0] = low.bit_length() - 1
+            if n == 1:
+                out.add(low)
+            elif extend(1, low):
+                break
+        return out
 
-    def found(self, view: View) -> bool:
-        return self.possible(view) and any(self.matches_at(view, i) for i in self.anchors(view))
+    def count(self, view: View, most: int | None = None) -> int:
+        """How many different sets of atoms embeddings cover, counted up to ``most``."""
+        if len(self.atoms) == 1:
+            return view.mask(self.atoms[0]).bit_count() if self.connected else 0
+        return len(self.covers(view, most))
 
     def unique(self, view: View) -> list[tuple[int, ...]]:
         """One embedding for each set of atoms, the first by anchor, sorted."""
         if not self.possible(view):
             return []
         out: dict[frozenset[int], tuple[int, ...]] = {}
-        for i in sorted(self.anchors(view)):
-            for spots in self.placed(view, i):
+        starts = self.starts(view) if view.simple else (1 << len(view.sym)) - 1
+        while starts:
+            low = starts & -starts
+            for spots in self.placed(view, low.bit_length() - 1):
                 out.setdefault(frozenset(spots), spots)
+            starts ^= low
         return sorted(out.values())
 
 
