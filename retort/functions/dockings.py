@@ -19,6 +19,9 @@ UDFS = {
     "dock": _column(docking.dock, TEXT, "dock"),
 }
 
+#: Tasks per core that ligands are spread over.
+TASKS = 16
+
 XYZ = T.StructType([T.StructField(a, T.ArrayType(T.DoubleType())) for a in "xyz"])
 
 
@@ -33,18 +36,24 @@ def smiles_to_3d(texts: pa.Array, seeds: pa.Array) -> pa.Array:
 
 
 def dock_ligands(ligands: DataFrame, text_col: str, receptor: str, center: tuple, size: tuple, runs: int = 10, seed: int = 0, ph: float = docking.DEFAULT_PH) -> DataFrame:
-    """``ligands`` with the poses (JSON) as ``poses`` and the best score as ``score``, against one receptor text.
+    """``ligands`` with the poses (JSON) as ``poses``, the PDBQT text of the docked conformer as ``ligand`` and the best score as ``score``, against one receptor text.
 
-    The receptor travels once per task and its grids are made once per worker; ligands are spread evenly first, since their costs differ.
+    The receptor travels once per task and its grids are made once per worker; ligands are spread evenly first, since their costs differ. Texts without a conformer have
+    nulls. Columns of ``ligands`` with these names are replaced.
     """
     spark = ligands.sparkSession
     sent = spark.sparkContext.broadcast(receptor)
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([docking.dock(t, sent.value, *center, *size, runs, seed, ph) for t in texts.to_pylist()], pa.string())
+        # The conformer of a text is remembered from one call to the other.
+        rows = [{"poses": docking.dock(t, sent.value, *center, *size, runs, seed, ph), "ligand": docking.smiles_to_pdbqt(t, seed)} for t in texts.to_pylist()]
+        return pa.array(rows, pa.struct([("poses", pa.string()), ("ligand", pa.string())]))
 
-    made = ligands.repartition(4 * spark.sparkContext.defaultParallelism).withColumn("poses", arrow_udf(run, TEXT).asNondeterministic()(F.col(text_col)))
-    return made.withColumn("score", F.get_json_object("poses", "$.results[0].score").cast("double"))
+    docked = arrow_udf(run, T.StructType([T.StructField("poses", TEXT), T.StructField("ligand", TEXT)])).asNondeterministic()(F.col(text_col))
+    keep = [c for c in ligands.columns if c not in ("poses", "ligand", "score")]
+    made = ligands.select(*keep).repartition(TASKS * spark.sparkContext.defaultParallelism).withColumn("_docked", docked)
+    score = F.get_json_object("_docked.poses", "$.results[0].score").cast("double")
+    return made.select(*keep, F.col("_docked.poses").alias("poses"), F.col("_docked.ligand").alias("ligand"), score.alias("score"))
 
 
 _RANKED = "array_sort(transform(scores, (s, i) -> struct(s AS s, i AS i, get(labels, i) AS l)))"

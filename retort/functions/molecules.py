@@ -238,7 +238,7 @@ def profile(df: DataFrame, text_col: str, fields: list[str], distinct: bool = Fa
     if not distinct:
         return spread(df).select(*keep, make(F.col(text_col)).alias("_profile")).select(*keep, *picked)
     texts = df.filter(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("_text")).agg(F.count("*").alias("_n"))
-    # Each text is computed once and written, since it is counted and then joined back.
-    made = written(texts.repartition(tasks(df.sparkSession), "_text").select("_text", "_n", make(F.col("_text")).alias("_profile")), "profile")
+    # Each text is computed once and written, since it is counted and then joined back. By another hash than the grouping's, or the two shuffles would become one that is merged.
+    made = written(texts.repartition(tasks(df.sparkSession), F.xxhash64("_text")).select("_text", "_n", make(F.col("_text")).alias("_profile")), "profile")
     out = join_back(df.select(*keep, F.col(text_col).alias("_text")), made, "_text", "_n")
     return out.select(*keep, *picked)

@@ -8,6 +8,8 @@ is what can be relied on.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from retort.kernel.mol import AROMATIC, DOUBLE, TRIPLE, Molecule, parse
@@ -70,6 +72,15 @@ def hybridisation(mol: Molecule, i: int) -> int:
     return 2 if mol.arom[i] or orders & {DOUBLE, AROMATIC} else 3
 
 
+def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Vector products along the last axis."""
+    out = np.empty(np.broadcast_shapes(a.shape, b.shape))
+    for k in range(3):
+        i, j = (k + 1) % 3, (k + 2) % 3
+        out[..., k] = a[..., i] * b[..., j] - a[..., j] * b[..., i]
+    return out
+
+
 def ring_order(mol: Molecule, ring: list[int]) -> list[int] | None:
     """Atoms of a ring in cyclic order from the smallest index; None if its bonds are no single cycle."""
     near: dict[int, list[int]] = {}
@@ -119,16 +130,20 @@ class Terms:
         near = np.eye(n, dtype=bool)
         for a, b in (self.bonds.T, self.angles[:, [0, 2]].T):
             near[a, b] = near[b, a] = True
-        self.apart = np.argwhere(np.triu(~near))
+        self.far = ~near
         self.radius = np.array([VDW.get(s, OTHER_VDW) for s in mol.sym])
-        self.touch = (self.radius[self.apart[:, 0]] + self.radius[self.apart[:, 1]]) * 0.5
+        # Squared distances at which pairs that are neither bound nor at one angle touch; 0 for the others, which feel nothing.
+        self.touch = np.where(self.far, ((self.radius[:, None] + self.radius[None]) * 0.5) ** 2, 0.0)
+        # Forces on the atoms of all terms are added up by atom: their order by atom, and where each atom's begin.
+        ends = np.concatenate([self.bonds.T.ravel(), self.angles[:, [0, 2, 1]].T.ravel(), self.flat[:, [1, 2, 3, 0]].T.ravel()])
+        self.by_atom = np.argsort(ends, kind="stable")
+        self.pushed, self.begins = np.unique(ends[self.by_atom], return_index=True)
 
     def limits(self) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper distance limits, smoothed by the triangle inequality."""
         n = self.n
         low, high = np.zeros((n, n)), np.full((n, n), 100.0)
-        i, j = self.apart.T
-        low[i, j] = low[j, i] = (self.radius[i] + self.radius[j]) * APART
+        low[self.far] = ((self.radius[:, None] + self.radius[None]) * APART)[self.far]
 
         def pin(a, b, least, most, fresh: bool) -> None:
             low[a, b] = low[b, a] = least if fresh else max(low[a, b], least)
@@ -157,52 +172,60 @@ class Terms:
                 low = np.maximum(low, np.maximum(low[:, k, None] - high[None, k], low[None, k] - high[:, k, None]))
         return low, high
 
-    def energy(self, flat_xyz: np.ndarray) -> tuple[float, np.ndarray]:
-        """Energy and gradient of coordinates."""
-        xyz = flat_xyz.reshape(-1, 3)
-        grad = np.zeros_like(xyz)
-
-        def pairs(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            d = xyz[index[:, 0]] - xyz[index[:, 1]]
-            return d, np.maximum(np.sqrt((d * d).sum(1)), 1e-8)
-
-        def push(index: np.ndarray, force: np.ndarray) -> None:
-            np.add.at(grad, index[:, 0], force)
-            np.add.at(grad, index[:, 1], -force)
+    def energy(self, flat_xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Energies and gradients of several sets of coordinates (sets x 3 n)."""
+        m = len(flat_xyz)
+        xyz = flat_xyz.reshape(m, -1, 3)
+        forces = []
 
-        d, r = pairs(self.bonds)
+        d = xyz[:, self.bonds[:, 0]] - xyz[:, self.bonds[:, 1]]
+        r = np.maximum(np.sqrt((d * d).sum(2)), 1e-8)
         off = r - self.length
-        total = K_BOND * (off * off).sum()
-        push(self.bonds, (2 * K_BOND * off / r)[:, None] * d)
-
-        u, ru = pairs(self.angles[:, [0, 1]])
-        v, rv = pairs(self.angles[:, [2, 1]])
-        cos = np.clip((u * v).sum(1) / (ru * rv), -1 + 1e-10, 1 - 1e-10)
+        total = K_BOND * (off * off).sum(1)
+        force = (2 * K_BOND * off / r)[..., None] * d
+        forces += [force, -force]
+
+        centre = xyz[:, self.angles[:, 1]]
+        u, v = xyz[:, self.angles[:, 0]] - centre, xyz[:, self.angles[:, 2]] - centre
+        ru, rv = (np.maximum(np.sqrt((w * w).sum(2)), 1e-8) for w in (u, v))
+        cos = np.clip((u * v).sum(2) / (ru * rv), -1 + 1e-10, 1 - 1e-10)
         theta = np.arccos(cos)
         off = theta - self.ideal
-        total += K_ANGLE * (off * off).sum()
-        pull = (2 * K_ANGLE * off / np.maximum(np.sin(theta), 1e-8))[:, None]
-        gu = -pull * (v / (ru * rv)[:, None] - (cos / ru**2)[:, None] * u)
-        gv = -pull * (u / (ru * rv)[:, None] - (cos / rv**2)[:, None] * v)
-        np.add.at(grad, self.angles[:, 0], gu)
-        np.add.at(grad, self.angles[:, 2], gv)
-        np.add.at(grad, self.angles[:, 1], -gu - gv)
-
-        d, r = pairs(self.apart)
-        six = (self.touch / r) ** 6
-        total += DEPTH * (six * six - 2 * six).sum()
-        push(self.apart, (12 * DEPTH * (six - six * six) / (r * r))[:, None] * d)
-
-        a, b, c = (xyz[self.flat[:, k]] - xyz[self.flat[:, 0]] for k in (1, 2, 3))
-        bc = np.cross(b, c)
-        volume = (a * bc).sum(1)
-        total += K_PLANE * (volume * volume).sum()
-        f = (2 * K_PLANE * volume)[:, None]
-        parts = (f * bc, f * np.cross(c, a), f * np.cross(a, b))
-        for k, g in enumerate(parts, 1):
-            np.add.at(grad, self.flat[:, k], g)
-        np.add.at(grad, self.flat[:, 0], -sum(parts))
-        return float(total), grad.ravel()
+        total += K_ANGLE * (off * off).sum(1)
+        pull = (2 * K_ANGLE * off / np.maximum(np.sin(theta), 1e-8))[..., None]
+        gu = -pull * (v / (ru * rv)[..., None] - (cos / ru**2)[..., None] * u)
+        gv = -pull * (u / (ru * rv)[..., None] - (cos / rv**2)[..., None] * v)
+        forces += [gu, gv, -gu - gv]
+
+        a, b, c = (xyz[:, self.flat[:, k]] - xyz[:, self.flat[:, 0]] for k in (1, 2, 3))
+        bc = cross(b, c)
+        volume = (a * bc).sum(2)
+        total += K_PLANE * (volume * volume).sum(1)
+        f = (2 * K_PLANE * volume)[..., None]
+        parts = [f * bc, f * cross(c, a), f * cross(a, b)]
+        forces += [*parts, -sum(parts)]
+
+        grad = np.zeros_like(xyz)
+        if len(self.begins):
+            grad[:, self.pushed] = np.add.reduceat(np.concatenate(forces, 1)[:, self.by_atom], self.begins, 1)
+
+        # All pairs of atoms at once; what isn't a pair has a touching distance of 0. Written in place, since for large molecules this is all the time.
+        own = (xyz * xyz).sum(2)
+        square = xyz @ xyz.transpose(0, 2, 1)
+        square *= -2
+        square += own[:, :, None]
+        square += own[:, None]
+        np.maximum(square, 1e-16, out=square)
+        ratio = self.touch / square
+        six = ratio * ratio
+        six *= ratio
+        twelve = np.multiply(six, six, out=ratio)
+        total += 0.5 * DEPTH * (twelve.sum((1, 2)) - 2 * six.sum((1, 2)))
+        weight = np.subtract(six, twelve, out=six)
+        weight /= square
+        weight *= 12 * DEPTH
+        grad += weight.sum(2)[..., None] * xyz - weight @ xyz
+        return total, grad.reshape(m, -1)
 
 
 def embedding(low: np.ndarray, high: np.ndarray, seed: int) -> np.ndarray | None:
@@ -222,58 +245,79 @@ def embedding(low: np.ndarray, high: np.ndarray, seed: int) -> np.ndarray | None
     return xyz.ravel()
 
 
-def relax(terms: Terms, x: np.ndarray) -> tuple[float, np.ndarray]:
-    """Limited-memory quasi-Newton descent with step halving; energy and coordinates."""
+def relax(terms: Terms, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Limited-memory quasi-Newton descent with step halving, for several sets of coordinates in step; energies and coordinates."""
+    x = x.copy()
     e, g = terms.energy(x)
-    memory: list[tuple[np.ndarray, np.ndarray, float]] = []
+    n = len(x)
+    # The last HISTORY steps and changes of the gradient of each set, newest last; a weight of 0 stands for none.
+    s_held, y_held, rho_held = np.zeros((HISTORY, *x.shape)), np.zeros((HISTORY, *x.shape)), np.zeros((HISTORY, n))
+    scale = np.zeros(n)
+    live = np.arange(n)
     for _ in range(STEPS):
-        steepest = float(np.abs(g).max(initial=0.0))
-        if steepest < FLAT:
+        steepest = np.abs(g[live]).max(1, initial=0.0)
+        live = live[steepest >= FLAT]
+        if not len(live):
             break
-        q, used = g.copy(), []
-        for s, y, rho in reversed(memory):
-            a = rho * (s @ q)
-            q -= a * y
-            used.append(a)
-        if memory:
-            s, y, _ = memory[-1]
-            q *= (s @ y) / max(y @ y, 1e-12)
-        else:
-            q /= 1 + steepest
-        for (s, y, rho), a in zip(memory, reversed(used), strict=True):
-            q += s * (a - rho * (y @ q))
-        slope = -(g @ q)
-        if slope >= 0:
-            q, slope = g, -(g @ g)
-        step = 1.0
+        steepest = steepest[steepest >= FLAT]
+        q, used = g[live].copy(), np.zeros((HISTORY, len(live)))
+        held = range(HISTORY) if rho_held.any() else range(0)
+        for k in reversed(held):
+            used[k] = rho_held[k, live] * (s_held[k, live] * q).sum(1)
+            q -= used[k][:, None] * y_held[k, live]
+        q *= np.where(scale[live] > 0, scale[live], 1 / (1 + steepest))[:, None]
+        for k in held:
+            q += s_held[k, live] * (used[k] - rho_held[k, live] * (y_held[k, live] * q).sum(1))[:, None]
+        slope = -(g[live] * q).sum(1)
+        uphill = slope >= 0
+        q[uphill] = g[live[uphill]]
+        slope = -(g[live] * q).sum(1)
+        step, todo = np.ones(len(live)), np.arange(len(live))
+        x_new, e_new, g_new = x[live].copy(), e[live].copy(), g[live].copy()
         for _ in range(30):
-            x_new = x - step * q
-            e_new, g_new = terms.energy(x_new)
-            if e_new <= e + 1e-4 * step * slope:
+            trial = x[live[todo]] - step[todo, None] * q[todo]
+            te, tg = terms.energy(trial)
+            good = te <= e[live[todo]] + 1e-4 * step[todo] * slope[todo]
+            done = todo[good]
+            x_new[done], e_new[done], g_new[done] = trial[good], te[good], tg[good]
+            todo = todo[~good]
+            if not len(todo):
                 break
-            step *= 0.5
-        else:
-            break
-        s, y = x_new - x, g_new - g
-        if s @ y > 1e-10:
-            memory = [*memory[-HISTORY + 1 :], (s, y, 1 / (s @ y))]
-        x, e, g = x_new, e_new, g_new
+            step[todo] *= 0.5
+        s, y = x_new - x[live], g_new - g[live]
+        sy = (s * y).sum(1)
+        keep = sy > 1e-10
+        at = live[keep]
+        for held_rows, fresh in ((s_held, s), (y_held, y)):
+            held_rows[:-1, at] = held_rows[1:, at]
+            held_rows[-1, at] = fresh[keep]
+        rho_held[:-1, at] = rho_held[1:, at]
+        rho_held[-1, at] = 1 / sy[keep]
+        scale[at] = sy[keep] / np.maximum((y[keep] ** 2).sum(1), 1e-12)
+        x[live], e[live], g[live] = x_new, e_new, g_new
+        # A set without a lower step is done.
+        live = np.delete(live, todo)
     return e, x
 
 
+#: Pairs of atoms of all embeddings relaxed at once.
+PAIRS = 300_000
+
+
+@lru_cache(maxsize=8)
 def conformer(text: str | None, seed: int | None) -> tuple[Molecule, np.ndarray] | None:
-    """The molecule with its hydrogens and coordinates (atoms x 3) of the best of several embeddings; None for invalid texts and single atoms."""
+    """The molecule with its hydrogens and coordinates (atoms x 3) of the best of several embeddings; None for invalid texts and single atoms. The last few are remembered: neither part is to be changed."""
     bare = parse(text)
     if bare is None or seed is None:
         return None
     mol = with_hydrogens(bare)
     terms = Terms(mol)
     low, high = terms.limits()
-    best = None
-    for k in range(1, TRIES + 1):
-        start = embedding(low, high, ((seed & _MASK) * SPREAD + k) & _MASK)
-        if start is not None:
-            found = relax(terms, start)
-            if best is None or found[0] < best[0]:
-                best = found
+    starts = [x for k in range(1, TRIES + 1) if (x := embedding(low, high, ((seed & _MASK) * SPREAD + k) & _MASK)) is not None]
+    best, size = None, max(1, PAIRS // max(1, terms.n) ** 2)
+    for k in range(0, len(starts), size):
+        e, x = relax(terms, np.stack(starts[k : k + size]))
+        first = int(e.argmin())
+        if best is None or e[first] < best[0]:
+            best = e[first], x[first]
     return None if best is None else (mol, best[1].reshape(-1, 3))

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 from retort.kernel.blocks import _NUMBER, lines_of
-from retort.kernel.conformer import Sequence, conformer
+from retort.kernel.conformer import Sequence, conformer, cross
 from retort.kernel.mol import DOUBLE, SINGLE, Molecule
 
 # --- atom types --------------------------------------------------------------------------------------------------------------------------------------
@@ -269,19 +269,34 @@ class Grids:
                     data[p, k : k + step] += pair_energy(probe, t, d).sum(1)
         self.data = data.reshape(len(PROBES), *self.n)
 
-    def lookup(self, xyz: np.ndarray, probes: np.ndarray) -> np.ndarray:
-        """Trilinear energies of (poses, atoms, 3), summed by pose; infinite where an atom lies beyond the upper faces. Below the lower ones it is extrapolated."""
+    def lookup(self, xyz: np.ndarray, probes: np.ndarray, slopes: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Trilinear energies of (poses, atoms, 3), summed by pose, and with ``slopes`` what they change by with each coordinate.
+
+        A pose with an atom beyond the upper faces has infinite energy and no slope; below the lower faces it is extrapolated.
+        """
         f = (xyz - self.origin) / SPACING
         i = np.maximum(np.trunc(f), 0).astype(int)
         outside = (i + 1 >= self.n).any((1, 2))
         i = np.minimum(i, self.n - 2)
         t = f - i
-        e = np.zeros(xyz.shape[:2])
-        for corner in range(8):
-            bit = np.array([corner >> 2 & 1, corner >> 1 & 1, corner & 1])
-            j = i + bit
-            e += np.where(bit, t, 1 - t).prod(2) * self.data[probes[None], j[..., 0], j[..., 1], j[..., 2]]
-        return np.where(outside, np.inf, e.sum(1))
+        # The eight corners of each atom's cell, one gather for all.
+        at = (i[..., None, :] + _CORNERS).transpose(3, 0, 1, 2)
+        v = self.data[probes[None, :, None], at[0], at[1], at[2]].reshape(*xyz.shape[:2], 2, 2, 2)
+        x, y, z = (t[..., k] for k in range(3))
+        vx = v[:, :, 0] + (v[:, :, 1] - v[:, :, 0]) * x[..., None, None]
+        vy = vx[:, :, 0] + (vx[:, :, 1] - vx[:, :, 0]) * y[..., None]
+        e = np.where(outside, np.inf, (vy[:, :, 0] + (vy[:, :, 1] - vy[:, :, 0]) * z).sum(1))
+        if not slopes:
+            return e, None
+        dx = v[:, :, 1] - v[:, :, 0]
+        dx = dx[:, :, 0] + (dx[:, :, 1] - dx[:, :, 0]) * y[..., None]
+        dy = vx[:, :, 1] - vx[:, :, 0]
+        g = np.stack([dx[..., 0] + (dx[..., 1] - dx[..., 0]) * z, dy[..., 0] + (dy[..., 1] - dy[..., 0]) * z, vy[:, :, 1] - vy[:, :, 0]], -1) / SPACING
+        return e, np.where(outside[:, None, None], 0.0, g)
+
+
+#: Corners of a cell, the first coordinate changing slowest.
+_CORNERS = np.array([(c >> 2 & 1, c >> 1 & 1, c & 1) for c in range(8)])
 
 
 @lru_cache(maxsize=4)
@@ -305,6 +320,10 @@ class Ligand:
         self.pairs = np.array([(i, j) for x, i in enumerate(heavy) for j in heavy[x + 1 :] if far[i][j] >= 4], np.int64).reshape(-1, 2)
         radius = np.array([TYPES[t][0] for t in types])
         self.touch = radius[self.pairs].sum(1)
+        # Clashes push their two atoms: the order of pushes by atom, and where each atom's begin.
+        ends = self.pairs.T.ravel()
+        self.by_atom = np.argsort(ends, kind="stable")
+        self.pushed, self.begins = np.unique(ends[self.by_atom], return_index=True)
         self.rotors = []
         root = far[0]
         for k, (a, b, order) in enumerate(mol.bonds):
@@ -333,32 +352,74 @@ class Ligand:
         """Inner coordinates of poses (poses, atoms, 3) for their angles."""
         xyz = np.repeat(self.xyz[None], len(angles), 0)
         for k, (_, pivot, end, moved) in enumerate(self.rotors):
-            base = xyz[:, pivot, None]
-            axis = xyz[:, end, None] - base
-            axis = axis / np.maximum(np.linalg.norm(axis, axis=2, keepdims=True), 1e-9)
+            base, axis = self._axis(xyz, pivot, end)
             v = xyz[:, moved] - base
             s, c = np.sin(angles[:, k])[:, None, None], np.cos(angles[:, k])[:, None, None]
-            xyz[:, moved] = base + v * c + np.cross(np.broadcast_to(axis, v.shape), v) * s + axis * (axis * v).sum(2, keepdims=True) * (1 - c)
+            xyz[:, moved] = base + v * c + cross(axis, v) * s + axis * (axis * v).sum(2, keepdims=True) * (1 - c)
         return xyz
 
+    @staticmethod
+    def _axis(xyz: np.ndarray, pivot: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        base = xyz[:, pivot, None]
+        axis = xyz[:, end, None] - base
+        return base, axis / np.maximum(np.sqrt((axis * axis).sum(2, keepdims=True)), 1e-9)
+
     def place(self, poses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inner and placed coordinates of poses (3 translations, 4 quaternion parts, angles)."""
         inner = self.bend(poses[:, 7:])
         centred = inner - inner.mean(1, keepdims=True) if self.rotors else inner
-        q = poses[:, 3:7] / np.maximum(np.linalg.norm(poses[:, 3:7], axis=1, keepdims=True), 1e-12)
-        w, axis = q[:, :1, None], np.broadcast_to(q[:, None, 1:], centred.shape)
-        twist = 2 * np.cross(axis, centred)
-        return inner, centred + w * twist + np.cross(axis, twist) + poses[:, None, :3]
+        q = _unit(poses)
+        w, axis = q[:, :1, None], q[:, None, 1:]
+        twist = 2 * cross(axis, centred)
+        return inner, centred + w * twist + cross(axis, twist) + poses[:, None, :3]
 
-    def score(self, g: Grids, poses: np.ndarray) -> np.ndarray:
+    def score(self, g: Grids, poses: np.ndarray, slopes: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Scores of poses, and with ``slopes`` what they change by with each of a pose's numbers."""
         inner, placed = self.place(poses)
-        e = g.lookup(placed[:, self.scored], self.probes) / (1 + W_ROTOR * len(self.rotors))
-        d = np.linalg.norm(inner[:, self.pairs[:, 0]] - inner[:, self.pairs[:, 1]], axis=2) - self.touch
-        return e + W_CLASH * (np.minimum(d, 0) ** 2).sum(1)
-
-
-# Descent steps, difference step, gradient at which to stop, halvings, first and largest step, score of a pose outside the grid, poses reported.
-DESCENT, DELTA, STILL, HALVINGS, FIRST_STEP, LARGEST_STEP, OUTSIDE, REPORTED = 200, 0.01, 1e-4, 10, 0.1, 0.5, 1e9, 9
+        share = 1 / (1 + W_ROTOR * len(self.rotors))
+        e, pull = g.lookup(placed[:, self.scored], self.probes, slopes)
+        d = inner[:, self.pairs[:, 0]] - inner[:, self.pairs[:, 1]]
+        r = np.sqrt((d * d).sum(2))
+        deep = np.minimum(r - self.touch, 0)
+        e = e * share + W_CLASH * (deep**2).sum(1)
+        if not slopes:
+            return e, None
+        outer = np.zeros_like(placed)
+        outer[:, self.scored] = pull * share
+        shift = outer.sum(1)
+        centred = inner - inner.mean(1, keepdims=True) if self.rotors else inner
+        # How the placed atoms turn with the quaternion, from the moments of forces.
+        q = _unit(poses)
+        w, v = q[:, :1], q[:, 1:]
+        moment = np.einsum("pai,paj->pij", centred, outer)
+        torque = np.stack([moment[:, 1, 2] - moment[:, 2, 1], moment[:, 2, 0] - moment[:, 0, 2], moment[:, 0, 1] - moment[:, 1, 0]], 1)
+        turn = 2 * w * torque + 2 * (np.einsum("pij,pj->pi", moment + moment.transpose(0, 2, 1), v) - 2 * np.trace(moment, axis1=1, axis2=2)[:, None] * v)
+        dq = np.concatenate([2 * (v * torque).sum(1, keepdims=True), turn], 1)
+        dq = (dq - q * (q * dq).sum(1, keepdims=True)) / np.maximum(np.sqrt((poses[:, 3:7] ** 2).sum(1, keepdims=True)), 1e-12)
+        if not self.rotors:
+            return e, np.concatenate([shift, dq], 1)
+        # Forces in the ligand's own frame: turned back, without what moves its centre, and with those of clashes.
+        twist = -2 * cross(v[:, None], outer)
+        own = outer + w[..., None] * twist - cross(v[:, None], twist)
+        own -= own.mean(1, keepdims=True)
+        if len(self.begins):
+            f = (2 * W_CLASH * deep / np.maximum(r, 1e-9))[..., None] * d
+            own[:, self.pushed] += np.add.reduceat(np.concatenate([f, -f], 1)[:, self.by_atom], self.begins, 1)
+        bends = []
+        for _, pivot, end, moved in self.rotors:
+            base, axis = self._axis(inner, pivot, end)
+            bends.append((axis * cross(inner[:, moved] - base, own[:, moved])).sum((1, 2)))
+        return e, np.concatenate([shift, dq, np.stack(bends, 1)], 1)
+
+
+def _unit(poses: np.ndarray) -> np.ndarray:
+    """The quaternions of poses, of length 1."""
+    q = poses[:, 3:7]
+    return q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-12)
+
+
+# Descent steps, gradient at which to stop, halvings, first and largest step, score of a pose outside the grid, poses reported.
+DESCENT, STILL, HALVINGS, FIRST_STEP, LARGEST_STEP, OUTSIDE, REPORTED = 200, 1e-4, 10, 0.1, 0.5, 1e9, 9
 
 
 def search(ligand: Ligand, g: Grids, runs: int, seed: int) -> list[tuple[float, np.ndarray]]:
@@ -373,17 +434,14 @@ def search(ligand: Ligand, g: Grids, runs: int, seed: int) -> list[tuple[float,
     low, high = np.minimum(low, (low + high) / 2), np.maximum(high, (low + high) / 2)
 
     def value(poses: np.ndarray) -> np.ndarray:
-        return np.minimum(ligand.score(g, poses), OUTSIDE)
+        return np.minimum(ligand.score(g, poses)[0], OUTSIDE)
 
     x[:, :3] = np.clip(x[:, :3], low, high)
     e, step, live = value(x), np.full(runs, FIRST_STEP), np.arange(runs)
-    shift = DELTA * np.eye(n)
     for _ in range(DESCENT):
         if not len(live):
             break
-        around = (x[live, None] + np.concatenate([shift, -shift])[None]).reshape(-1, n)
-        ends = value(around).reshape(len(live), 2, n)
-        grad = (ends[:, 0] - ends[:, 1]) / (2 * DELTA)
+        grad = ligand.score(g, x[live], True)[1]
         moving = np.sqrt((grad**2).sum(1)) >= STILL
         live, grad = live[moving], grad[moving]
         slope, alpha = (grad**2).sum(1), step[live].copy()

@@ -522,8 +522,7 @@ def vs_docking(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "smiles").select("mol_id", "smiles")
     texts = rows.filter("smiles is not null").groupBy("smiles").agg(F.count("*").alias("copies"))
     out = dockings.dock_ligands(texts, "smiles", RECEPTOR, (3.0, 0.0, 4.0), (7.0, 7.0, 7.0), runs=4, seed=11)
-    ligand = dockings.UDFS["smiles_to_pdbqt"](F.col("smiles"), F.lit(1).cast("bigint")).alias("ligand")
-    docked = written(out.select("smiles", "copies", "score", ligand), "docked")
+    docked = written(out.select("smiles", "copies", "score", "ligand"), "docked")
     texts = [dockings.UDFS["prepare_receptor"](F.lit(RECEPTOR), F.lit(7.4)).alias("receptor"), dockings.UDFS["pdb_to_pdbqt"](F.lit(RECEPTOR)).alias("plain")]
     return join_back(rows, docked, "smiles", "copies").select("mol_id", "smiles", "score", "ligand", *texts)
 

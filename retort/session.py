@@ -68,8 +68,8 @@ def release(spark: SparkSession) -> int:
 
 
 def tasks(spark: SparkSession) -> int:
-    """Tasks for dear work after a shuffle: a stated number of partitions, which adaptive execution doesn't merge as it merges small ones."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    """Tasks for dear work after a shuffle: a stated number of partitions, which adaptive execution doesn't merge as it merges small ones; several a core, since texts differ in cost."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -165,5 +165,30 @@ def test_tokenizer():
 def test_conformer_needs_atoms():
     from retort.kernel.conformer import conformer
 
-    assert conformer("C" * 200, 1) is None and conformer("bad", 1) is None and conformer("CC", None) is None
+    assert conformer("bad", 1) is None and conformer("CC", None) is None and conformer("[Na+]", 1) is None
     assert np.isfinite(conformer("C=C", 3)[1]).all()
+
+
+def test_forces_are_slopes():
+    """The analytic slopes of conformer energy and docking score against differences, and several sets at once against one by one."""
+    from retort.kernel import conformer as C
+    from retort.kernel import docking as D
+
+    mol, xyz = C.conformer("CC(=O)Oc1ccccc1C(=O)NCC", 11)
+    terms, rng, h = C.Terms(mol), np.random.default_rng(0), 1e-5
+    x = xyz.ravel()[None] + rng.normal(scale=0.1, size=(3, xyz.size))
+    energy, slope = terms.energy(x)
+    assert np.allclose(energy, [terms.energy(row[None])[0][0] for row in x])
+    for k in range(0, x.shape[1], 7):
+        step = np.zeros(x.shape[1])
+        step[k] = h
+        assert np.allclose((terms.energy(x + step)[0] - terms.energy(x - step)[0]) / (2 * h), slope[:, k], rtol=1e-4, atol=1e-3)
+    receptor = "\n".join(f"ATOM  {i:>5}  C   ALA A   1    {a:8.3f}{b:8.3f}{c:8.3f}  1.00  0.00           C" for i, (a, b, c) in enumerate([(0, 0, 0), (3, 1, 0), (0, 4, 2)], 1))
+    ligand, grids = D.Ligand(mol, xyz), D.grids(receptor, (0.0, 0.0, 4.0), (9.0, 9.0, 9.0), 7.4)
+    poses = rng.normal(size=(5, 7 + len(ligand.rotors)))
+    score, slope = ligand.score(grids, poses, True)
+    assert len(ligand.rotors) >= 3 and np.isfinite(score).all()
+    for k in range(poses.shape[1]):
+        step = np.zeros(poses.shape[1])
+        step[k] = h
+        assert np.allclose((ligand.score(grids, poses + step)[0] - ligand.score(grids, poses - step)[0]) / (2 * h), slope[:, k], rtol=1e-3, atol=1e-3)
