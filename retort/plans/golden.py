@@ -6,8 +6,12 @@ Each relation is a ``VALUES`` list of inputs and answers: the Spark query comput
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from retort.functions import molecules as M
+from retort.functions import rules
 from retort.functions.registry import register_all
+from retort.plans import workflows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -356,3 +360,136 @@ golden(
         ("uneven", "[1]", "[true,false]", None, None, None), ("null inside", "[1,null]", "[true,false]", None, None, None), ("empty", "[]", "[]", None, None, None),
     ],
 )
+
+# --- docking: what the texts hold can be counted by hand ---------------------------------------------------------------------------------------------------
+
+_LINES = "size(filter(split({t}, '\\\\n'), l -> l LIKE '{p}'))"
+
+
+def _lines(text: str, like: str) -> str:
+    return _LINES.format(t=text, p=like)
+
+
+golden(
+    "g_ligands",
+    "PDBQT texts of ligands: atoms with all hydrogens, those on N and O as donors, aromatic carbons, acceptors.",
+    {"smiles": "VARCHAR"},
+    {
+        "atoms": ("INTEGER", _lines("smiles_to_pdbqt(smiles, 1L)", "ATOM%")), "donors": ("INTEGER", _lines("smiles_to_pdbqt(smiles, 1L)", "ATOM% HD")),
+        "aromatic": ("INTEGER", _lines("smiles_to_pdbqt(smiles, 1L)", "ATOM% A")), "oxygens": ("INTEGER", _lines("smiles_to_pdbqt(smiles, 1L)", "ATOM% OA")),
+        "root": ("BOOLEAN", "smiles_to_pdbqt(smiles, 1L) LIKE '%ROOT%ENDROOT%TORSDOF%'"), "again": ("BOOLEAN", "smiles_to_pdbqt(smiles, 1L) = smiles_to_pdbqt(smiles, 1L)"),
+    },
+    [
+        ("C", 5, 0, 0, 0, True, True), ("O", 3, 2, 0, 1, True, True), ("CCO", 9, 1, 0, 1, True, True), ("c1ccccc1", 12, 0, 6, 0, True, True), ("CN", 7, 2, 0, 0, True, True),
+        ("CC(=O)O", 8, 1, 0, 2, True, True), ("not-a-smiles", None, None, None, None, None, None), ("[Na+]", None, None, None, None, None, None),
+    ],
+)
+
+
+def _residue(name: str, number: int, atoms: list[tuple[str, float, float, float]]) -> str:
+    return "\n".join(f"ATOM  {i:>5}  {n:<3} {name} A{number:>4}    {x:8.3f}{y:8.3f}{z:8.3f}  1.00  0.00           {n[0]}" for i, (n, x, y, z) in enumerate(atoms, 1))
+
+
+_BACKBONE = [("N", 0.0, 0.0, 0.0), ("CA", 1.46, 0.0, 0.0), ("C", 2.0, 1.42, 0.0), ("O", 1.3, 2.4, 0.0)]
+_ALANINE = _residue("ALA", 1, [*_BACKBONE, ("CB", 2.0, -0.8, 1.2)])
+_SERINE = _residue("SER", 1, [*_BACKBONE, ("CB", 2.0, -0.8, 1.2), ("OG", 1.5, -2.1, 1.2)])
+
+golden(
+    "g_receptors",
+    "PDBQT texts of receptors: the plain one has the atoms given, the prepared one also the hydrogens of the chain's N and of a serine's O.",
+    {"name": "VARCHAR", "pdb": "VARCHAR"},
+    {
+        "atoms": ("INTEGER", _lines("pdb_to_pdbqt(pdb)", "ATOM%")), "nitrogens": ("INTEGER", _lines("pdb_to_pdbqt(pdb)", "ATOM% NS")), "oxygens": ("INTEGER", _lines("pdb_to_pdbqt(pdb)", "ATOM% OA")),
+        "prepared": ("INTEGER", _lines("prepare_receptor(pdb, 7.4D)", "ATOM%")), "donors": ("INTEGER", _lines("prepare_receptor(pdb, 7.4D)", "ATOM% HD")),
+    },
+    [("alanine", _ALANINE, 5, 1, 1, 6, 1), ("serine", _SERINE, 6, 1, 2, 8, 2), ("null", None, None, None, None, None, None)],
+)
+
+_DOCK = "dock(smiles, '" + _SERINE + "', 2D, 0D, 3D, 6D, 6D, 6D, runs, 7L{ph})"
+golden(
+    "g_docking",
+    "Docking with and without a pH: as many poses as runs, best first, every atom placed, a small molecule attracted.",
+    {"smiles": "VARCHAR", "runs": "INTEGER"},
+    {
+        "poses": ("INTEGER", f"cast(get_json_object({_DOCK.format(ph='')}, '$.n') AS INT)"),
+        "sorted": ("BOOLEAN", f"transform(array(from_json({_DOCK.format(ph='')}, 'results array<struct<score: double, x: array<double>>>').results.score), s -> s = array_sort(s))[0]"),
+        "atoms": ("INTEGER", f"size(from_json({_DOCK.format(ph=', 7.4D')}, 'results array<struct<score: double, x: array<double>>>').results[0].x)"),
+        "attracted": ("BOOLEAN", f"from_json({_DOCK.format(ph=', 7.4D')}, 'results array<struct<score: double>>').results[0].score < 0"),
+        "same": ("BOOLEAN", f"{_DOCK.format(ph='')} = {_DOCK.format(ph=', 7.4D')}"),
+    },
+    [
+        ("CCO", 1, 1, True, 9, True, True), ("CCO", 3, 3, True, 9, True, True), ("c1ccccc1", 2, 2, True, 12, True, True), ("CO", 12, 9, True, 6, True, True),
+        ("bad(", 2, None, None, None, None, None), ("CCO", None, None, None, None, None, None),
+    ],
+)
+
+# --- workflows over well-known molecules -------------------------------------------------------------------------------------------------------------------
+
+
+def workflow(name: str, doc: str, inputs: dict[str, str], rows: list[tuple], make, outputs: dict[str, str], answers: list[tuple]) -> None:
+    """Register a query that applies a DataFrame operator to a ``VALUES`` relation; the SQL is the list of answers."""
+    listed = lambda part: ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in part)
+    quoted = [f'"{n}"' for n in outputs]
+    SQL[name] = f"SELECT {', '.join(f'CAST({q} AS {t}) AS {q}' for q, t in zip(quoted, outputs.values(), strict=True))} FROM (VALUES {listed(answers)}) AS v({', '.join(quoted)})"
+    cast = ", ".join(f"CAST({n} AS {_SPARK_TYPES.get(t, t)}) AS {n}" for n, t in inputs.items())
+    text = f"SELECT {cast} FROM VALUES {listed(rows)} AS v({', '.join(inputs)})"
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return make(spark.sql(text)).select(*outputs)
+
+    run.__name__, run.__doc__ = name, doc
+    QUERIES[name] = run
+
+
+_KNOWN = [(1, ASPIRIN), (2, SALICYLIC), (3, PARACETAMOL), (4, "Cn1c(=O)c2c(ncn2C)n(C)c1=O"), (5, "C"), (6, "bad("), (7, None)]
+_IDS = {"mol_id": "BIGINT", "smiles": "VARCHAR"}
+_SIM = {"mol_id": "BIGINT", "sim": "DOUBLE"}
+
+workflow(
+    "gw_rank", "W3: published ranking by circular fingerprints; equal ones by number.", _IDS, _KNOWN,
+    lambda df: workflows.rank_similar(workflows.fingerprints(df, "smiles"), ASPIRIN, 5).withColumn("sim", F.round("sim", 4)), _SIM,
+    [(1, 1.0), (2, 0.2162), (3, 0.2162), (4, 0.102), (5, 0.0)],
+)
+workflow(
+    "gw_rank_keys", "W5: ranking by structural keys, from the published keys.", _IDS, [(1, ASPIRIN), (2, PARACETAMOL), (3, CAFFEINE), (4, NAPHTHALENE), (5, "CCO"), (6, "bad(")],
+    lambda df: workflows.rank_similar(workflows.fingerprints(df, "smiles", "maccs_keys"), ASPIRIN, 4, field="maccs_keys").withColumn("sim", F.round("sim", 6)), _SIM,
+    [(1, 1.0), (2, round(13 / 31, 6)), (3, round(14 / 53, 6)), (5, round(4 / 26, 6))],
+)
+workflow(
+    "gw_measures", "W4: other measures from the published keys.", _IDS, [(1, ASPIRIN), (2, PARACETAMOL), (3, "c1ccccc1")],
+    lambda df: workflows.rank_similar(workflows.fingerprints(df, "smiles", "maccs_keys"), ASPIRIN, measure="dice_bit", field="maccs_keys").withColumn("sim", F.round("sim", 6)), _SIM,
+    [(1, 1.0), (2, round(26 / 44, 6)), (3, 0.25)],
+)
+workflow(
+    "gw_threshold", "Pairs of one molecule's family by structural keys, and what isn't similar enough.", _IDS, [(1, ASPIRIN), (2, PARACETAMOL), (3, "c1ccccc1"), (4, NAPHTHALENE), (5, "C1=CC=CC=C1"), (6, None)],
+    lambda df: workflows.threshold_join(workflows.fingerprints(df, "smiles", "maccs_keys"), 0.41).withColumn("sim", F.round("sim", 6)), {"a": "BIGINT", "b": "BIGINT", "sim": "DOUBLE"},
+    [(1, 2, round(13 / 31, 6)), (3, 4, round(3 / 7, 6))],
+)
+workflow(
+    "gw_parents", "W6: records by salt-free parent.", _IDS, [(1, "CC(=O)[O-].[Na+]"), (2, "CC(=O)O"), (3, "[Na+].CC(=O)[O-]"), (4, "C[NH3+].[Cl-]"), (5, "CN"), (6, "CCO.CN.[Cl-]"), (7, "bad("), (8, None)],
+    lambda df: workflows.parents(df, "smiles", "mol_id"), {"parent": "VARCHAR", "n": "BIGINT", "keep_id": "BIGINT"},
+    [("C(C)(=O)O", 3, 1), ("CN", 2, 4), ("C(C)O", 1, 6)],
+)
+workflow(
+    "gw_scaffolds", "W7: records by scaffold, with sums.", _IDS, [(1, "Cc1ccccc1"), (2, "c1ccccc1O"), (3, "c1ccccn1"), (4, "CCC"), (5, "C1CC1"), (6, "bad("), (7, None)],
+    lambda df: workflows.scaffold_rollup(df, "smiles"), {"generic_scaffold": "VARCHAR", "murcko_scaffold": "VARCHAR", "n": "BIGINT", "level": "BIGINT"},
+    [(None, None, 5, 3), ("C1CCCCC1", None, 3, 1), ("C1CCCCC1", "c1ccccc1", 2, 0), ("C1CCCCC1", "c1ccccn1", 1, 0), ("", None, 1, 1), ("", "", 1, 0), ("C1CC1", None, 1, 1), ("C1CC1", "C1CC1", 1, 0)],
+)
+workflow(
+    "gw_screen", "W8: named patterns with their numbers of matches.", _IDS, [(1, ASPIRIN), (2, "OCCO"), (3, "CC#N"), (4, "C"), (5, "bad("), (6, None)],
+    lambda df: workflows.screen(df, "smiles", {"acid": "C(=O)[OX2H1]", "hydroxyl": "[OX2H]", "nitrile": "C#N", "ring": "[R]"}).withColumn("hits", F.array_join(F.array_sort(F.transform(F.map_entries("hits"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), " ")),
+    {"mol_id": "BIGINT", "hits": "VARCHAR"},
+    [(1, "acid=1 hydroxyl=1 ring=6"), (2, "hydroxyl=2"), (3, "nitrile=1"), (4, ""), (5, ""), (6, "")],
+)
+workflow(
+    "gw_polymers", "W2: open ends rewritten to hydrogen.", _IDS, [(1, "*CC*"), (2, "*CC(*)c1ccccc1"), (3, "*"), (4, None)],
+    lambda df: M.profile(df.withColumn("smiles", F.replace("smiles", F.lit("*"), F.lit("[H]"))), "smiles", ["mol_formula", "mol_weight"]).withColumn("mol_weight", F.round("mol_weight", 3)),
+    {"mol_id": "BIGINT", "mol_formula": "VARCHAR", "mol_weight": "DOUBLE"},
+    [(1, "C2H6", 30.07), (2, "C8H10", 106.168), (3, "H", 1.008), (4, None, None)],
+)
+workflow(
+    "gw_rules", "W9: rule panels natively over one descriptor pass.", _IDS, [(1, ASPIRIN), (2, CAFFEINE), (3, _LONG), (4, "C"), (5, "bad(")],
+    lambda df: (lambda rows: rows.select("mol_id", rules.violations("Lipinski").alias("lipinski_violations"), *[rules.druglikeness_pass(F.lit(r), F.col("valid")).alias(r) for r in ("lipinski", "ghose", "muegge")]))(M.profile(df, "smiles", rules.fields())),
+    {"mol_id": "BIGINT", "lipinski_violations": "INTEGER", "lipinski": "INTEGER", "ghose": "INTEGER", "muegge": "INTEGER"},
+    [(1, 0, 1, 1, 0), (2, 0, 1, 0, 0), (3, 2, 0, 0, 0), (4, 0, 1, 0, 0), (5, None, -1, -1, -1)],
+)
