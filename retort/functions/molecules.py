@@ -46,8 +46,8 @@ def molecule(text: str | None) -> M.Molecule | None:
     return _parsed(text) if len(text) <= SHORT else M.parse(text)
 
 
-BOOL, INT, DOUBLE, TEXT, BITS = T.BooleanType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BinaryType()
-_ARROW = {BOOL: pa.bool_(), INT: pa.int32(), DOUBLE: pa.float64(), TEXT: pa.string(), BITS: pa.binary()}
+BOOL, INT, DOUBLE, TEXT, BITS, WORDS = T.BooleanType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BinaryType(), T.ArrayType(T.LongType())
+_ARROW = {BOOL: pa.bool_(), INT: pa.int32(), DOUBLE: pa.float64(), TEXT: pa.string(), BITS: pa.binary(), WORDS: pa.list_(pa.int64())}
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,19 @@ def _ring(aromatic=None, saturated=None, hetero=None) -> Callable:
     return lambda m: sum(all(w is None or w == x for w, x in zip(want, row, strict=True)) for row in D.ring_classes(m))
 
 
+def _circular(m: M.Molecule) -> bytes:
+    return m.once("circular", morgan_bits)
+
+
+def _keys(m: M.Molecule) -> bytes:
+    return m.once("keys", D.structural_keys)
+
+
+def _words(bits: bytes) -> list[int]:
+    """A bit vector as 64-bit words, the last one shorter, as ``similarity.words`` makes them."""
+    return [int.from_bytes(bits[i : i + 8], "big", signed=len(bits) >= i + 8) for i in range(0, len(bits), 8)]
+
+
 FIELDS: dict[str, Field] = {
     "mol_formula": Field(TEXT, D.formula),
     "mol_num_atoms": Field(INT, D.heavy_atoms),
@@ -103,13 +116,15 @@ FIELDS: dict[str, Field] = {
     "admet_json": Field(TEXT, admet_json),
     "structural_alerts_json": Field(TEXT, lambda m: dumps(D.alerts(m))),
     "structural_alert_count": Field(INT, lambda m: len(D.alerts(m))),
-    "maccs_keys": Field(BITS, D.structural_keys),
-    "morgan_fp_bits": Field(BITS, morgan_bits),
+    "maccs_keys": Field(BITS, _keys),
+    "morgan_fp_bits": Field(BITS, _circular),
+    "maccs_keys_words": Field(WORDS, lambda m: _words(_keys(m))),
+    "morgan_fp_bits_words": Field(WORDS, lambda m: _words(_circular(m))),
     "total_atoms": Field(INT, D.total_atoms),
     "num_carbons": Field(INT, lambda m: m.sym.count("C")),
 }
 #: Fields that are no functions of their own in SQL.
-INNER = ("total_atoms", "num_carbons")
+INNER = ("total_atoms", "num_carbons", "maccs_keys_words", "morgan_fp_bits_words")
 
 
 def _column(make: Callable, kind: T.DataType, name: str):

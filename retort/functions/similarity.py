@@ -21,6 +21,20 @@ def common(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda acc, x: acc + x)
 
 
+def folded(w: Column, n: int) -> Column:
+    """The words folded to n by exclusive or: word k of the result is that of words k, k + n, k + 2 n, ..."""
+
+    def one(k: int) -> Column:
+        return F.aggregate(F.filter(w, lambda x, i: i % n == k), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(x))
+
+    return F.array(*[one(k) for k in range(n)])
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Bits in which two arrays of words differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+
+
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top / F.nullif(bottom, F.lit(0.0)))
 

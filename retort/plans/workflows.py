@@ -12,10 +12,15 @@ from retort.operators.skew import blocks, join_back
 from retort.session import written
 
 
+#: Words that bits are folded to for a first comparison.
+FOLD = 4
+
+
 def fingerprints(df: DataFrame, text_col: str, field: str = "morgan_fp_bits") -> DataFrame:
-    """``df`` with ``fp`` (binary), ``words`` (64-bit words) and ``n_on``; rows without a valid molecule are left out."""
-    out = M.profile(df, text_col, [field]).filter(F.col(field).isNotNull())
-    out = out.withColumnRenamed(field, "fp").withColumn("words", S.words(F.col("fp"))).drop("valid")
+    """``df`` with ``fp`` (binary), ``words`` (64-bit words) and ``n_on``; rows without a valid molecule are left out, columns of these names replaced."""
+    kept = [c for c in df.columns if c not in ("fp", "words", "n_on")]
+    out = M.profile(df.select(*kept), text_col, [field, f"{field}_words"]).filter(F.col(field).isNotNull())
+    out = out.withColumnRenamed(field, "fp").withColumnRenamed(f"{field}_words", "words").drop("valid")
     return out.withColumn("n_on", S.popcount(F.col("words")))
 
 
@@ -38,25 +43,28 @@ def threshold_join(fps: DataFrame, t: float, id_col: str = "mol_id", group: int
     """``(a, b, sim)``, a < b, for all pairs of different fingerprints with Tanimoto similarity at least ``t``; each fingerprint stands for all rows that have it, by its smallest id.
 
     Two such fingerprints share one of the rarest ``n - ceil(t * n) + 1`` on-bits of either side. Rarity is counted over the table; bits are joined with the range of sizes
-    that can reach t, frequent bits in blocks that meet pairwise, and candidates are counted exactly.
+    that can reach t, frequent bits in blocks that meet pairwise, and candidates are counted exactly. Before they are, most are ruled out where they meet: each side
+    carries its bits folded to a few words by exclusive or, and folded vectors differ in no more bits than the vectors do.
     """
     one = written(fps.groupBy("fp").agg(F.min(id_col).alias("id"), F.first("words").alias("words"), F.first("n_on").alias("n")).filter("n > 0"), "fps")
-    bits = one.select("id", "n", F.explode(_on_bits(F.col("words"))).alias("bit"))
+    bits = one.select("id", "n", S.folded(F.col("words"), FOLD).alias("fold"), F.explode(_on_bits(F.col("words"))).alias("bit"))
     # At most as many rows as a fingerprint has bits.
     freq = written(bits.groupBy("bit").agg(F.count("*").alias("held")), "bits")
     ranked = bits.join(F.broadcast(freq), "bit").withColumn("pos", F.row_number().over(W.partitionBy("id").orderBy("held", "bit")) - 1)
-    prefix = ranked.filter(F.col("pos") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9)).select("id", "n", "bit", "pos")
+    prefix = ranked.filter(F.col("pos") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9)).select("id", "n", "fold", "bit", "pos")
     counts = prefix.groupBy("bit").agg(F.count("*").alias("m")).filter("m > 1").select("bit", blocks(F.col("m"), group).alias("parts"))
     prefix = written(prefix.join(F.broadcast(counts), "bit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "prefix")
 
     def side(name: str, own: str, other: str) -> DataFrame:
         rows = prefix.withColumn(own, F.col("part")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return rows.select("bit", "bx", "by", F.struct("id", "n", "pos").alias(name))
+        return rows.select("bit", "bx", "by", F.struct("id", "n", "pos", "fold").alias(name))
 
     x, y = F.col("x"), F.col("y")
     met = side("x", "bx", "by").join(side("y", "by", "bx"), ["bit", "bx", "by"]).filter((x["id"] < y["id"]) & (x["n"] * t <= y["n"] + 1e-9) & (y["n"] * t <= x["n"] + 1e-9))
     reach = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) * (1 + t) + 1e-9 >= (x["n"] + y["n"]) * t
-    pairs = met.filter(reach).select(x["id"].alias("a"), y["id"].alias("b")).distinct()
+    # Similarity t leaves at most this many bits to differ in.
+    apart = S.differing(x["fold"], y["fold"]) <= (x["n"] + y["n"]) * ((1 - t) / (1 + t)) + 1e-9
+    pairs = met.filter(reach).filter(apart).select(x["id"].alias("a"), y["id"].alias("b")).distinct()
     held = one.select("id", "words", "n")
     for end in ("a", "b"):
         pairs = pairs.join(held.select(F.col("id").alias(end), F.col("words").alias(f"w_{end}"), F.col("n").alias(f"n_{end}")), end)

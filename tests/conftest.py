@@ -31,3 +31,13 @@ def data() -> str:
     if not folder.exists():
         pytest.skip("no test tables here")
     return str(folder)
+
+
+@pytest.fixture(autouse=True)
+def released(request):
+    """Tables that a test wrote are deleted after it."""
+    yield
+    if "spark" in request.fixturenames:
+        from retort.session import release
+
+        release(request.getfixturevalue("spark"))
