@@ -1,4 +1,4 @@
-"""Normal forms of texts: one vectorised NFKC step, the rest as native expressions."""
+"""Normal forms of texts: vectorised Arrow steps where the JVM has no or a slow function, the rest as native expressions."""
 
 from __future__ import annotations
 
@@ -23,12 +23,21 @@ def nfkc(texts: pa.Array) -> pa.Array:
     return pc.utf8_normalize(texts, form="NFKC")
 
 
+def _structures(texts: pa.Array) -> pa.Array:
+    plain = pc.replace_substring_regex(pc.utf8_normalize(texts, form="NFKC"), f"[{DASHES}]", "-")
+    plain = pc.replace_substring_regex(plain, f"[^{STRUCTURE_CHARS}]+", "")
+    plain = pc.replace_substring(pc.replace_substring(plain, "CL", "Cl"), "BR", "Br")
+    plain = pc.utf8_trim(pc.replace_substring_regex(plain, r"\.\.+", "."), ".")
+    parts = pc.split_pattern(plain, ".")
+    return pc.if_else(pc.equal(plain, ""), pa.scalar(None, parts.type), parts)
+
+
+_structure = arrow_udf(_structures, T.ArrayType(T.StringType()))
+
+
 def structure(text: Column) -> Column:
-    """The components of a structure text in written order, repeats kept; null if there are none."""
-    plain = F.regexp_replace(F.translate(nfkc(text), DASHES, "-" * len(DASHES)), f"[^{STRUCTURE_CHARS}]", "")
-    plain = F.replace(F.replace(plain, F.lit("CL"), F.lit("Cl")), F.lit("BR"), F.lit("Br"))
-    parts = F.filter(F.split(plain, r"\."), lambda c: c != "")
-    return F.when(F.size(parts) > 0, parts)
+    """The components of a structure text in written order, repeats kept; null if there are none. One vectorised step outside the JVM, whose result is a plain column."""
+    return _structure(text)
 
 
 def name_key(text: Column) -> Column:
