@@ -100,7 +100,7 @@ def distinct_sets(df: DataFrame, tokens: F.Column, id_col: str = "mol_id", least
     A row whose set is null or has fewer than ``least`` distinct values is in neither; null values don't count, nor do rows with a null id. Ids must be unique;
     set_id is the smallest id of the n rows that hold the set. tokens are 64-bit hashes of the items, rarest item first; results are filtered by the items themselves.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.filter(tokens, lambda x: x.isNotNull()))).alias("items"))
+    rows = df.select(F.col(id_col).alias("id"), F.sort_array(F.array_distinct(F.filter(tokens, lambda x: x.isNotNull()))).alias("items"))
     rows = written(rows.filter((F.size("items") >= least) & F.col("id").isNotNull()).withColumn("key", F.array_join("items", "\0")), "rows")
     sets = written(rows.groupBy("key").agg(F.min("id").alias("set_id"), F.count("*").alias("n"), F.first("items").alias("items")), "sets")
     listed = sets.select("set_id", F.explode("items").alias("item"))

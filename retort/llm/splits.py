@@ -135,7 +135,7 @@ def achieved_shares(placed: DataFrame, shares: list[tuple[str, float]]) -> DataF
 
 def molecule_ties(df: DataFrame) -> dict[str, F.Column]:
     """Author and structure, as text that is equal exactly if they are the same."""
-    parts = F.array_sort(structure(F.col("smiles")))
+    parts = F.sort_array(structure(F.col("smiles")))
     return {"structure": F.array_join(parts, "."), "author": F.array_join(author_key(F.col("author")), " ")}
 
 
