@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retort.operators.skew import hot_limit
-from retort.session import written
+from retort.session import tasks, written
 
 NAN = float("nan")
 #: Cuts between the ranges of scores of a large group.
@@ -85,6 +85,20 @@ def _range_of(score: Column, cuts: Column) -> Column:
     return F.when(cuts.isNotNull(), F.aggregate(steps, F.lit(0), lambda p, x: p + F.when(F.coalesce(at(p + x) <= score, F.lit(False)), x).otherwise(0)))
 
 
+def _placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_place``, the row's place (from 1) among those of its keys by ``order``: rows are sorted over all tasks and counted by task, so that no key is gathered."""
+    by = list(dict.fromkeys([*keys, *order]))
+    rows = df.repartitionByRange(tasks(df.sparkSession), *by).sortWithinPartitions(*by)
+    # The table keeps each row's task and its number there; the low 33 bits of the running id are that number.
+    rows = written(rows.withColumns({"_task": F.spark_partition_id(), "_number": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "sorted")
+    runs = rows.groupBy(*keys, "_task").agg(F.count("*").alias("_rows"), F.min("_number").alias("_first"))
+    before = F.sum("_rows").over(W.partitionBy(*keys).orderBy("_task").rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], F.col("_task").alias("_rt"), "_first", F.coalesce(before, F.lit(0)).alias("_earlier"))
+    same = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    out = rows.join(runs, [*same, F.col("_task") == F.col("_rt")])
+    return out.select(*df.columns, (F.col("_earlier") + F.col("_number") - F.col("_first") + 1).alias("_place"))
+
+
 def metrics_by_group(df: DataFrame, group: list[str], score: str, label: str, tie: list[str], fraction: float = 0.1, alpha: float = 20.0, large: int | None = None) -> DataFrame:
     """``(*group, n, actives, roc_auc, enrichment, bedroc)`` per group; metrics are null where they are undefined.
 
@@ -94,7 +108,7 @@ def metrics_by_group(df: DataFrame, group: list[str], score: str, label: str, ti
     Ranks come from counts, not from one sort per group: scores are grouped to (score) rows with their numbers of actives and inactives - folded before the shuffle.
     Large groups are cut into ranges of scores (SPLITS of about equal size, from a mergeable sketch); running sums within a range and the sums of the ranges before
     it give every rank, so no window holds a group. The order within equal scores is only looked at where a tie is cut by the fraction or where ranks of tied
-    actives are needed, and then by a window over one (group, score).
+    actives are needed, and then by sorting the tied rows over all tasks, whatever share of them one score has.
     """
     rows = df.select(*group, F.col(score).cast("double").alias("_s"), F.col(label).cast("boolean").alias("_l"), *tie)
     rows = rows.filter(F.col("_s").isNotNull() & ~F.isnan("_s") & F.col("_l").isNotNull())
@@ -133,8 +147,8 @@ def metrics_by_group(df: DataFrame, group: list[str], score: str, label: str, ti
     open_ties = settled.filter((F.col("_a") > 0) & ~single).select(*[F.col(g).alias(m) for g, m in zip(group, named, strict=True)], F.col("_s").alias("_ts"), "_before", "_top", "_all", F.col("_hit").isNull().alias("_hits_open"))
     match = [F.col(g).eqNullSafe(F.col(m)) for g, m in zip(group, named, strict=True)]
     tied = rows.join(open_ties, [*match, F.col("_s") == F.col("_ts")])
-    place = F.row_number().over(W.partitionBy(*named, "_ts").orderBy(*tie)) + F.col("_before")
-    tied = tied.withColumn("_place", place).filter("_l").withColumn("_e", F.exp(F.lit(-alpha) * F.col("_place") / F.col("_all")))
+    tied = _placed(tied.select(*dict.fromkeys([*named, "_ts", "_l", "_before", "_top", "_all", "_hits_open", *tie])), [*named, "_ts"], tie)
+    tied = tied.withColumn("_place", F.col("_place") + F.col("_before")).filter("_l").withColumn("_e", F.exp(F.lit(-alpha) * F.col("_place") / F.col("_all")))
     tied = tied.groupBy(*named).agg(F.sum("_e").alias("_tied_e"), F.count_if((F.col("_place") <= F.col("_top")) & (F.col("_before") < F.col("_top")) & (F.col("_hits_open"))).alias("_tied_hits"))
     settled = settled.withColumn("_open", (F.col("_a") > 0) & ~single)
     out = settled.groupBy(*group).agg(

@@ -62,3 +62,13 @@ def test_conformers_and_boxes_of_any_size(monkeypatch):
     atom = queries.RECEPTOR.split("\n")[0]
     assert '"score"' in docking.dock("CO", atom, 0.0, 0.0, 0.0, 25.0, 25.0, 25.0, 2, 7, 7.4)
     assert docking.grids(atom, (0.0, 0.0, 0.0), (25.0, 25.0, 25.0), 7.4).n.prod() > 2_000_000
+
+
+def test_core_stands_alone():
+    """Nothing outside the subpackage on training data imports it, the entry but by asking whether it is there."""
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    for path in [*root.glob("retort/**/*.py"), *root.glob("tests/*.py")]:
+        if "llm" not in path.relative_to(root).parts and path.name != Path(__file__).name:
+            assert "retort.llm" not in path.read_text(), path

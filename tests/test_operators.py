@@ -103,6 +103,17 @@ def test_metrics_of_large_groups(spark):
     assert got[0] == got[1] == {r.g: tuple(round(x, 9) for x in r[1:]) for r in listed.collect()} and got[0]["hot"][0] == 4_800
 
 
+def test_metrics_of_one_tie(spark):
+    """One score holds most rows, half of them the same; the order within it counts for the best tenth."""
+    from retort.functions import screening
+
+    rows = spark.range(4_000).select(F.lit("g").alias("g"), F.when(F.col("id") < 3_600, 1.5).otherwise(F.col("id") / 1e3).alias("s"), (F.xxhash64("id") % 5 == 0).alias("l"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("t"))
+    got = metrics_by_group(rows, ["g"], "s", "l", ["t", "l"]).first()
+    r = F.array_sort(F.collect_list(F.struct("s", "t", "l")))
+    lists = rows.groupBy("g").agg(r.alias("r")).select(screening.roc_auc(F.col("r.s"), F.col("r.l")), screening.enrichment_factor(F.col("r.s"), F.col("r.l"), F.lit(0.1)), screening.bedroc(F.col("r.s"), F.col("r.l"), F.lit(20.0)))
+    assert [round(x, 9) for x in got[3:]] == [round(x, 9) for x in lists.first()]
+
+
 def test_lists_either_side(spark, data, monkeypatch):
     monkeypatch.setattr(queries, "LIST_ROWS", 3)
     some = {tuple(r) for r in queries.vs_lists(spark, data).collect()}
