@@ -115,6 +115,21 @@ def _cycle_text(mol: Molecule, part: list[int], links, tokens: list[str]) -> str
     return best
 
 
+def _starts(part: list[int], links, tokens: list[str]) -> list[int]:
+    """The atoms of a part from which the least text can begin: how a text begins - the atom, and how it goes on to its first neighbour - is known before it is written."""
+
+    def begins(i: int) -> str:
+        row = links[i]
+        if not row or any(v == i for v, _ in row):
+            return tokens[i]
+        v, order = row[0]
+        return tokens[i] + ("(" if len(row) > 1 else "") + _PLAIN[order] + tokens[v]
+
+    heads = [begins(i) for i in part]
+    least = min(heads)
+    return [i for i, head in zip(part, heads, strict=True) if head.startswith(least)]
+
+
 def canonical_smiles(mol: Molecule) -> str:
     """The least text over all start atoms, part by part, parts sorted.
 
@@ -128,7 +143,7 @@ def canonical_smiles(mol: Molecule) -> str:
     for part in mol.components():
         text = _cycle_text(mol, part, plain, tokens)
         if text is None:
-            for start in part:
+            for start in _starts(part, links, tokens):
                 out: list[str] = []
                 _walk(start, links, tokens, _PLAIN, [False] * len(mol), {}, out)
                 candidate = "".join(out)
