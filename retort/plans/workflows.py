@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retort.functions import molecules as M
@@ -46,14 +49,15 @@ def threshold_join(fps: DataFrame, t: float, id_col: str = "mol_id", group: int
     that can reach t, frequent bits in blocks that meet pairwise, and candidates are counted exactly. Before they are, most are ruled out where they meet: each side
     carries its bits folded to a few words by exclusive or, and folded vectors differ in no more bits than the vectors do.
     """
-    one = written(fps.groupBy("fp").agg(F.min(id_col).alias("id"), F.first("words").alias("words"), F.first("n_on").alias("n")).filter("n > 0"), "fps")
-    bits = one.select("id", "n", S.folded(F.col("words"), FOLD).alias("fold"), F.explode(_on_bits(F.col("words"))).alias("bit"))
+    one = fps.groupBy("fp").agg(F.min(id_col).alias("id"), F.first("words").alias("words"), F.first("n_on").alias("n")).filter("n > 0")
+    one = written(one.withColumn("fold", S.folded(F.col("words"), FOLD)), "fps")
     # At most as many rows as a fingerprint has bits.
-    freq = written(bits.groupBy("bit").agg(F.count("*").alias("held")), "bits")
-    ranked = bits.join(F.broadcast(freq), "bit").withColumn("pos", F.row_number().over(W.partitionBy("id").orderBy("held", "bit")) - 1)
-    prefix = ranked.filter(F.col("pos") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9)).select("id", "n", "fold", "bit", "pos")
+    held = one.select("fp").mapInArrow(_bit_counts, "bit int, held bigint").groupBy("bit").agg(F.sum("held").alias("held")).collect()
+    kind = one.schema["id"].dataType.simpleString()
+    prefix = one.select("id", "n", "fold", "fp").mapInArrow(_prefixes({r[0]: r[1] for r in held}, t), f"id {kind}, n int, fold array<bigint>, bit int, pos int")
+    prefix = written(prefix, "prefix")
     counts = prefix.groupBy("bit").agg(F.count("*").alias("m")).filter("m > 1").select("bit", blocks(F.col("m"), group).alias("parts"))
-    prefix = written(prefix.join(F.broadcast(counts), "bit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "prefix")
+    prefix = prefix.join(F.broadcast(counts), "bit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def side(name: str, own: str, other: str) -> DataFrame:
         rows = prefix.withColumn(own, F.col("part")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -87,10 +91,43 @@ def similar_members(fps: DataFrame, t: float, id_col: str = "mol_id") -> DataFra
     return join_back(fps.select(id_col, "fp"), linked, "fp", "rows").select(id_col, "class_id", "links")
 
 
-def _on_bits(words: Column) -> Column:
-    """Numbers of the on-bits: 64 times the word's place plus the bit's in it."""
-    each = F.transform(words, lambda w, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(w, b) == 1), lambda b: i * 64 + b))
-    return F.flatten(each)
+def _bits(fps: pa.Array) -> np.ndarray:
+    """Bit vectors of one length as rows of zeros and ones."""
+    data = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(len(fps), -1)
+    return np.unpackbits(data, axis=1, bitorder="little")
+
+
+def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many vectors have each bit on."""
+    total = 0
+    for batch in batches:
+        if batch.num_rows:
+            total = total + _bits(batch.column(0)).sum(0, dtype=np.int64)
+    if isinstance(total, np.ndarray):
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(total[on], pa.int64())], ["bit", "held"])
+
+
+def _prefixes(held: dict[int, int], t: float):
+    """Rows (id, n, fold, fp) to one row for each of the rarest ``n - ceil(t * n) + 1`` on-bits, with its place."""
+    order = np.array(sorted(held, key=lambda bit: (held[bit], bit)), np.int64)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(1).to_numpy().astype(np.int64)
+            row, col = np.nonzero(_bits(batch.column(3))[:, order])
+            # Non-zeros come row by row, in each by rarity.
+            place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            keep = place <= n[row] - np.ceil(t * n[row] - 1e-9)
+            row, col, place = row[keep], col[keep], place[keep]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at).cast(pa.int32()), batch.column(2).take(at), pa.array(order[col], pa.int32()), pa.array(place, pa.int32())], ["id", "n", "fold", "bit", "pos"]
+            )
+
+    return make
 
 
 def screen(df: DataFrame, text_col: str, patterns: dict[str, str]) -> DataFrame:
