@@ -293,3 +293,13 @@ def r_stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of users on a stream, ended by two hours without an event."""
     out = streams.run_all(streams.session_counts(_events_in_order(spark, d).filter("user_id is not null"), "ts", ["user_id"], "2 hours", "36 hours"))
     return out.select("user_id", F.col("session.start").cast("timestamp_ntz").alias("start"), F.col("session.end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(
+    """SELECT p_partkey, 'C' || CASE WHEN p_size > 1 THEN CAST(p_size AS VARCHAR) ELSE '' END || 'H' || CAST(2 * p_size + 2 AS VARCHAR) || 'O' AS mol_formula, CAST(greatest(p_size - 2, 0) AS INTEGER) AS num_rotatable_bonds,
+    true AS valid FROM part"""
+)
+def r_stream_alkanols(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of alkanols on a stream, into a table."""
+    stream = streams.read_stream(spark, f"{d}/part.parquet*").select("p_partkey", F.expr(Q._ALKANOL).alias("smiles"))
+    return streams.run_all(streams.profile_stream(stream, "smiles", ["mol_formula", "num_rotatable_bonds"])).drop("smiles")

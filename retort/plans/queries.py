@@ -65,17 +65,21 @@ def p2_smiles(spark: SparkSession, d: str) -> DataFrame:
     return records.typed(_feed(spark, d, "smiles", records.SMILES), records.SMILES, ["line_id", "file"])
 
 
-@query()
+_D_FIELD = r"""("(?:[^"]|"")*"|[^",\r\n]*)"""
+_D_CSV = rf"""WITH q AS (SELECT line_id, file, feed, line, regexp_full_match(line, '(?s){_D_FIELD}(?:,{_D_FIELD})*') AS ok, regexp_extract_all(',' || line, '(?s),{_D_FIELD}', 1) AS f FROM raw_lines WHERE feed IN ('smiles', 'inchi'))"""
+_D_UNQUOTED = "CASE WHEN reason IS NULL THEN CASE WHEN starts_with(f[{k}], '\"') THEN replace(f[{k}][2:-2], '\"\"', '\"') ELSE f[{k}] END END AS f{k}"
+_D_UNQUOTE = "CASE WHEN starts_with(f[{k}], '\"') THEN replace(f[{k}][2:-2], '\"\"', '\"') ELSE f[{k}] END"
+_D_INCHI_ROWS = f"""{_D_CSV}, u AS (SELECT line_id, file, {", ".join(f"{_D_UNQUOTE.format(k=k)} AS u{k}" for k in range(1, 6))} FROM q WHERE feed = 'inchi' AND ok AND len(f) = 5)
+    SELECT line_id, file, u1 AS name, u2 AS inchi, u3 AS expected_formula, CASE lower(u4) WHEN 'true' THEN true WHEN 'false' THEN false END AS has_stereo, CAST(nullif(u5, '') AS INTEGER) AS stereo_centers
+    FROM u WHERE starts_with(u2, 'InChI=') AND strlen(u2) > 8 AND lower(u4) IN ('', 'true', 'false') AND (u5 = '' OR (regexp_full_match(u5, '[0-9]+') AND coalesce(try_cast(u5 AS HUGEINT) <= 2147483647, false)))"""
+
+
+@query(_D_INCHI_ROWS)
 def p2_inchi(spark: SparkSession, d: str) -> DataFrame:
     """Good lines of feed inchi as typed rows."""
     return records.typed(_feed(spark, d, "inchi", records.INCHI), records.INCHI, ["line_id", "file"])
 
 
-_D_FIELD = r"""("(?:[^"]|"")*"|[^",\r\n]*)"""
-_D_CSV = rf"""WITH q AS (SELECT line_id, line, regexp_full_match(line, '(?s){_D_FIELD}(?:,{_D_FIELD})*') AS ok, regexp_extract_all(',' || line, '(?s),{_D_FIELD}', 1) AS f FROM raw_lines WHERE feed IN ('smiles', 'inchi'))"""
-_D_UNQUOTED = "CASE WHEN reason IS NULL THEN CASE WHEN starts_with(f[{k}], '\"') THEN replace(f[{k}][2:-2], '\"\"', '\"') ELSE f[{k}] END END AS f{k}"
-
-
 @query(
     f"""{_D_CSV}, r AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN line IS NULL OR len(f) <> 5 THEN 'column_count' END AS reason FROM q)
     SELECT line_id, reason, {", ".join(_D_UNQUOTED.format(k=k) for k in range(1, 6))} FROM r"""
