@@ -51,6 +51,9 @@ SQL = {
     "p1_whole": f"WITH {_GROUPS} SELECT group_id, n, 1 AS splits FROM g GROUP BY group_id, n",
     "p3_sizes": "SELECT plan_id, subset_size::BIGINT AS chosen, subset_size::BIGINT AS own, subset_size::BIGINT AS different FROM subset_plan",
     "p4_found": f"WITH {_SIMILAR} SELECT a AS mol_id_a, b AS mol_id_b FROM q",
+    "p4_classes": f"""WITH {_SETS}, c AS (SELECT items, min(mol_id) AS id, any_value(n) AS n FROM m GROUP BY items), u AS (SELECT id, n, unnest(items) AS item FROM c),
+    p AS (SELECT a.id AS a, b.id AS b, count(*) AS common, any_value(a.n) + any_value(b.n) - count(*) AS whole FROM u a JOIN u b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2)
+    SELECT a, b, common::INTEGER AS common, common::DOUBLE / whole::DOUBLE AS similarity FROM p WHERE 10 * common >= 6 * whole""",
     "p4_members": f"""WITH {_SIMILAR}, l AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM q UNION ALL SELECT b FROM q) GROUP BY id)
     SELECT mol_id, min(mol_id) OVER w AS class_id, count(*) OVER w AS copies, coalesce(links, 0) AS links FROM m LEFT JOIN l ON mol_id = id WINDOW w AS (PARTITION BY items)""",
     "p5_found": f"WITH {_BOTH} SELECT keep_id, mol_id AS copy_id FROM g WHERE mol_id <> keep_id",
