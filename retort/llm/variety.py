@@ -3,14 +3,16 @@
 Distinct structures are spread evenly over buckets by hash; in each bucket
 representatives are chosen greedily, each the one farthest from all chosen so
 far; the buckets' representatives are pooled and chosen among again, in rounds
-of bounded pools, until one pool is left and gives the required number. A big
-series of similar molecules thus costs one or few places, and copies none.
+of smaller pools, until one pool is left and gives the required number. A big
+series of similar molecules thus costs one or few places, and copies none. A
+pool too large for one task is chosen among by all tasks, in rounds, with the
+choice that one task would make.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,12 +26,14 @@ from pyspark.sql.functions import arrow_udf
 from retort.functions.normal import structure
 from retort.kernel.mol import parse
 from retort.kernel.morgan import morgan_bits
-from retort.session import written
+from retort.session import erase, shared, written
 
 #: Candidates of one bucket, about; 256 bytes of fingerprint each. A bucket holds at least four times the places it gives.
 BUCKET = 20_000
-#: Places that one last pool gives at most, out of four times as many candidates; a plan of more places is cut into shards of the candidates.
+#: Places that one task chooses at most, out of four times as many candidates; the buckets and pools of a plan of more places are chosen among in rounds, by all tasks.
 PLACES = 10_000
+#: Candidates of one block of a bucket that is chosen among in rounds, and those that all its blocks together propose in one round, about.
+BLOCK, PROPOSED = 10_000, 10_000
 RADIUS, BITS = 2, 2048
 #: Texts that one task fingerprints, about.
 TEXTS = 20_000
@@ -72,6 +76,32 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
 _fingerprint = arrow_udf(_fingerprints, T.BinaryType()).asNondeterministic()
 
 
+def _words(prints: pd.Series) -> np.ndarray:
+    """Fingerprints as rows of words."""
+    return np.frombuffer(b"".join(prints), np.uint64).reshape(-1, BITS // 64)
+
+
+def _sizes(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words).sum(1).astype(np.int32)
+
+
+def _distances(turned: np.ndarray, size: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """1 - Tanimoto of ``one`` to rows of fingerprint words that are given as columns."""
+    common = np.bitwise_count(turned & one[:, None]).sum(0, dtype=np.uint16).astype(np.int32)
+    return 1 - common / np.maximum(size + int(np.bitwise_count(one).sum()) - common, 1)
+
+
+def _density(words: np.ndarray) -> np.ndarray:
+    """How many rows have each bit. Whole numbers, so that sums don't hang on their order."""
+    return sum(np.unpackbits(words[i : i + 1024].view(np.uint8), axis=1).sum(0) for i in range(0, len(words), 1024)).astype(np.float64)
+
+
+def _typical(words: np.ndarray, density: np.ndarray) -> np.ndarray:
+    """How common the bits of each row are on average."""
+    common = np.concatenate([np.unpackbits(words[i : i + 1024].view(np.uint8), axis=1).astype(np.float64) @ density for i in range(0, len(words), 1024)])
+    return common / np.maximum(_sizes(words), 1)
+
+
 def farthest_first(words: np.ndarray, order: np.ndarray, k: int) -> list[int]:
     """Positions of up to k rows of fingerprint words, each the farthest (1 - Tanimoto) from those before; ties go to the smallest ``order``.
 
@@ -82,27 +112,159 @@ def farthest_first(words: np.ndarray, order: np.ndarray, k: int) -> list[int]:
         return list(range(n))
     rank = np.argsort(order, kind="stable")
     words = words[rank]
-    size = np.bitwise_count(words).sum(1).astype(np.int32)
-    density = sum(np.unpackbits(words[i : i + 1024].view(np.uint8), axis=1).sum(0) for i in range(0, n, 1024)).astype(np.float32)
-    typical = np.concatenate([np.unpackbits(words[i : i + 1024].view(np.uint8), axis=1).astype(np.float32) @ density for i in range(0, n, 1024)])
-    chosen = [int((typical / np.maximum(size, 1)).argmax())]
+    size, turned = _sizes(words), np.ascontiguousarray(words.T)
+    chosen = [int(_typical(words, _density(words)).argmax())]
     nearest = np.full(n, np.inf)
     while len(chosen) < k:
         one = chosen[-1]
-        common = np.bitwise_count(words & words[one]).sum(1).astype(np.int32)
-        union = size + size[one] - common
-        nearest = np.minimum(nearest, 1 - common / np.maximum(union, 1))
+        nearest = np.minimum(nearest, _distances(turned, size, words[one]))
         nearest[one] = -1
         chosen.append(int(nearest.argmax()))
     return [int(rank[i]) for i in chosen]
 
 
 def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
-    words = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
-    picked = farthest_first(words, pdf["id"].to_numpy(), int(pdf["k"].iloc[0]))
+    pdf = pdf.sort_values(["id", "key"], ignore_index=True)
+    picked = farthest_first(_words(pdf["fp"]), pdf.index.to_numpy(), int(pdf["k"].iloc[0]))
     return pdf.iloc[picked].assign(place=np.arange(1, len(picked) + 1, dtype=np.int32))
 
 
+_GROUP = "plan_id int, bucket int"
+#: The rows of a bucket that is chosen among in rounds. ``near`` is the distance to the nearest row chosen; ``mark`` is 1 for rows proposed, 2 for the last one of a block that holds more.
+_STATE = f"{_GROUP}, block int, key bigint, id bigint, fp binary, near double, mark int"
+_CHOSEN = f"{_GROUP}, key bigint, id bigint, fp binary, place int"
+
+
+def _proposed(rows: pd.DataFrame, near: np.ndarray, most: int) -> pd.DataFrame:
+    """``rows`` with their ``near``; the ``most`` farthest are marked."""
+    best = np.lexsort((rows["key"].to_numpy(), rows["id"].to_numpy(), -near))[:most]
+    mark = np.zeros(len(rows), np.int32)
+    mark[best] = 1
+    if len(rows) > most:
+        mark[best[-1]] = 2
+    return rows.assign(near=near, mark=mark)
+
+
+def _block_density(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.iloc[:1][["plan_id", "bucket"]].assign(fp=[_density(_words(pdf["fp"])).tobytes()])
+
+
+def _bucket_density(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.iloc[:1][["plan_id", "bucket"]].assign(fp=[sum(np.frombuffer(d) for d in pdf["fp"]).tobytes()])
+
+
+def _first(rows: pd.DataFrame, density: pd.DataFrame) -> pd.DataFrame:
+    """For the first choice the most typical row counts as the farthest."""
+    return rows if rows.empty else _proposed(rows, _typical(_words(rows["fp"]), np.frombuffer(density["fp"].iloc[0])), int(density["most"].iloc[0]))
+
+
+def _next(rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+    """The rows left, nearer by those chosen last."""
+    rows = rows[~rows["key"].isin(chosen["key"])]
+    if rows.empty:
+        return rows
+    words = _words(rows["fp"])
+    size, turned = _sizes(words), np.ascontiguousarray(words.T)
+    near = rows["near"].to_numpy(copy=True)
+    for one in _words(chosen["fp"]):
+        np.minimum(near, _distances(turned, size, one), out=near)
+    return _proposed(rows, near, int(chosen["most"].iloc[0]))
+
+
+def _pick(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of the rows proposed, those that are next in turn: as long as the farthest of them comes before every row that wasn't proposed. That holds for the first, at least."""
+    pdf = pdf.sort_values(["id", "key"], ignore_index=True)
+    words, near, at = _words(pdf["fp"]), pdf["near"].to_numpy(copy=True), np.arange(len(pdf))
+    # Rows not proposed come after the last proposed row of their block, and choices only bring them nearer.
+    ends = at[pdf["mark"].to_numpy() == 2]
+    floor, last = (-np.inf, 0) if len(ends) == 0 else (near[ends].max(), int(ends[near[ends].argmax()]))
+    size, turned, left, picked = _sizes(words), np.ascontiguousarray(words.T), int(pdf["left"].iloc[0]), []
+    while len(picked) < left:
+        i = int(near.argmax())
+        if near[i] < max(floor, 0) or (near[i] == floor and at[i] > last):
+            break
+        picked.append(int(at[i]))
+        near = np.minimum(near, _distances(turned, size, words[at[i]]))
+        near[i] = -1
+        if len(picked) % 64 == 0:
+            # Rows nearer than the floor have no turn in this round.
+            still = near >= max(floor, 0)
+            if 0 < still.sum() < 0.7 * len(near):
+                near, at, size, turned = near[still], at[still], size[still], np.ascontiguousarray(turned[:, still])
+    return pdf.iloc[picked][["plan_id", "bucket", "key", "id", "fp"]].assign(place=(int(pdf["given"].iloc[0]) + np.arange(1, len(picked) + 1)).astype(np.int32))
+
+
+def _in_rounds(rows: DataFrame) -> DataFrame:
+    """``(plan_id, bucket, key, id, fp, place)``: what ``farthest_first`` chooses of each bucket of ``rows`` (plan_id, bucket, k, key, id, fp), found by all tasks together.
+
+    A bucket is cut into blocks by hash. In each round every block proposes its farthest rows, one task makes the next choices among them, as many as are certain to come before all rows
+    not proposed, and every block brings its distances up to date. A series of near copies that fills all proposals costs a round.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # As many rows as there are buckets, each of which holds at least four times PLACES on average.
+    groups = {(r.plan_id, r.bucket): (r.k, r.held) for r in rows.groupBy("plan_id", "bucket").agg(F.max("k").alias("k"), F.count("*").alias("held")).collect()}
+    cuts = []
+    for (p, b), (_, held) in groups.items():
+        blocks = max(-(-held // BLOCK), 2 * cores)
+        cuts.append((p, b, blocks, max(16, -(-PROPOSED // blocks))))
+    cut = spark.createDataFrame(cuts, f"{_GROUP}, blocks int, most int")
+    parts = max(4 * cores, sum(c[2] for c in cuts) // 8)
+    block = F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int").alias("block")
+    held = rows.join(F.broadcast(cut), ["plan_id", "bucket"])
+    state = held.select("plan_id", "bucket", block, "key", "id", "fp", F.lit(float("inf")).alias("near"), F.lit(0).alias("mark"))
+    by, path = ["plan_id", "bucket", "block"], shared(spark, "chosen")
+
+    def store(df: DataFrame, schema: str, where: str) -> DataFrame:
+        df.write.parquet(where)
+        return spark.read.schema(schema).parquet(where)
+
+    def meet(state: DataFrame, news: DataFrame, f) -> DataFrame:
+        """Each block with the ``news`` of its bucket."""
+        news = news.join(F.broadcast(cut), ["plan_id", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # A stated number of partitions is left alone by adaptive execution.
+        left, right = (df.repartition(parts, *by).groupBy(*by) for df in (state, news))
+        return left.cogroup(right).applyInPandas(f, _STATE)
+
+    kept = shared(spark, "state")
+    state = store(state, _STATE, kept)
+    everything = [g for g, (k, n) in groups.items() if n <= k]
+    given = {g: 0 for g in groups if g not in set(everything)}
+    found = []
+    if everything:
+        # Nothing to choose: places are handed out block by block.
+        whole = state.join(F.broadcast(spark.createDataFrame(everything, _GROUP)), ["plan_id", "bucket"])
+        before = F.sum("held").over(W.partitionBy("plan_id", "bucket").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+        sizes = whole.groupBy(*by).agg(F.count("*").alias("held")).withColumn("before", F.coalesce(before, F.lit(0)))
+        place = (F.col("before") + F.row_number().over(W.partitionBy(*by).orderBy("id", "key"))).cast("int").alias("place")
+        found.append(store(whole.join(F.broadcast(sizes), by).select("plan_id", "bucket", "key", "id", "fp", place), _CHOSEN, f"{path}/all"))
+    def still(todo: DataFrame) -> DataFrame:
+        return state.join(F.broadcast(todo), ["plan_id", "bucket"])
+
+    def turn() -> DataFrame:
+        left = [(*g, groups[g][0] - n if n else 1, n) for g, n in given.items()]
+        return spark.createDataFrame(left, f"{_GROUP}, left int, given int")
+
+    density = still(turn()).groupBy(*by).applyInPandas(_block_density, f"{_GROUP}, fp binary").groupBy("plan_id", "bucket").applyInPandas(_bucket_density, f"{_GROUP}, fp binary")
+    news, f, number = store(density, f"{_GROUP}, fp binary", shared(spark, "density")), _first, 0
+    while given:
+        todo = turn()
+        old, kept = kept, shared(spark, "state")
+        state = store(meet(still(todo.select("plan_id", "bucket")), news, f), _STATE, kept)
+        erase(spark, old)
+        news = store(still(todo).filter("mark > 0").groupBy("plan_id", "bucket").applyInPandas(_pick, _CHOSEN), _CHOSEN, f"{path}/rounds/{number}")
+        for r in news.groupBy("plan_id", "bucket").count().collect():
+            given[r.plan_id, r.bucket] += r["count"]
+        given = {g: n for g, n in given.items() if n < groups[g][0]}
+        if number == 0:
+            state = state.withColumn("near", F.lit(float("inf")))
+        f, number = _next, number + 1
+    erase(spark, kept)
+    if number:
+        found.append(spark.read.schema(_CHOSEN).option("recursiveFileLookup", True).parquet(f"{path}/rounds"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def candidates(df: DataFrame, id_col: str = "mol_id", text_col: str = "smiles", source_col: str = "source") -> DataFrame:
     """``(id, source, text, fp)``: for every source one row per distinct valid structure, the one with the smallest id. Null ids are left out."""
     spark = df.sparkSession
@@ -116,42 +278,17 @@ def candidates(df: DataFrame, id_col: str = "mol_id", text_col: str = "smiles",
     return one.join(prints, "text").select("id", "source", "text", "fp")
 
 
-def _shards(pool: DataFrame, plans: list[tuple]) -> DataFrame:
-    """``pool`` (plan_id, id, fp) with the shard each candidate is in, the places of that shard (``k``) and of those before it (``given``).
-
-    A shard is a part of the candidates by hash, and its places are in proportion to what it holds, so that all shards together give the plan's places exactly.
-    """
-    spark = pool.sparkSession
-    wanted = {p: k for p, _, k in plans}
-    cut = spark.createDataFrame([(p, -(-k // PLACES)) for p, k in wanted.items()], "plan_id int, shards int")
-    placed = pool.join(F.broadcast(cut), "plan_id").withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.col("shards")).cast("int")).drop("shards")
-    # One row per shard: a plan has one for every PLACES places.
-    held: dict[int, list[tuple[int, int]]] = {}
-    for p, shard, n in placed.groupBy("plan_id", "shard").count().collect():
-        held.setdefault(p, []).append((shard, n))
-    rows = []
-    for p, shards in held.items():
-        total, before = sum(n for _, n in shards), 0
-        places = min(wanted[p], total)
-        for shard, n in sorted(shards):
-            first, last = places * before // total, places * (before + n) // total
-            rows.append((p, shard, last - first, first, n))
-            before += n
-    table = spark.createDataFrame(rows, "plan_id int, shard int, k int, given int, held bigint")
-    return placed.join(F.broadcast(table), ["plan_id", "shard"]).filter("k > 0")
-
-
 def varied_subsets(cand: DataFrame, plan: DataFrame) -> DataFrame:
     """``(plan_id, place, id)``: for each plan row (plan_id, source, subset_size; a null source means all) that many varied ids, in the order chosen.
 
     ``cand`` as ``candidates`` gives it. If a plan asks for more than there are distinct structures, all of them are chosen. Plans are a table of settings: more than 1000
-    are refused; of several rows with one plan_id the largest counts. Plans without an id and those with a null or non-positive size choose nothing. Sizes have no bound: the candidates of a plan
-    of more than PLACES places are cut into shards, in each of which the same is done for its part of the places (then the order is that within shards).
+    are refused; of several rows with one plan_id the largest counts. Plans without an id and those with a null or non-positive size choose nothing. Sizes have no bound: buckets and
+    pools of a plan of more than PLACES places are chosen among in rounds, with the same result.
     """
     rows = [(r[0], r[1], r[2]) for r in plan.select("plan_id", "source", "subset_size").limit(1001).collect()]
     if len(rows) > 1000:
         raise ValueError("a subset plan holds at most 1000 plans")
-    plans = list({p: (p, s, k) for p, s, k in sorted((r for r in rows if r[2] and r[2] > 0), key=lambda r: r[2])}.values())
+    plans = list({p: (p, s, k) for p, s, k in sorted((r for r in rows if r[0] is not None and r[2] and r[2] > 0), key=lambda r: r[2])}.values())
     spark = cand.sparkSession
     if not plans:
         return spark.createDataFrame([], "plan_id int, place int, id bigint")
@@ -164,20 +301,36 @@ def varied_subsets(cand: DataFrame, plan: DataFrame) -> DataFrame:
         # Where all sources count, a structure stands once, with its smallest id.
         once = cand.groupBy("text").agg(F.min("id").alias("id"), F.first("fp").alias("fp"))
         pool = pool.unionAll(once.select("id", "fp", F.explode(F.array(*general)).alias("plan_id")))
-    pool = _shards(written(pool.select("plan_id", "id", "fp"), "pool"), plans)
-    schema = "plan_id int, shard int, k int, given int, held bigint, id bigint, fp binary, place int"
-    names = ["plan_id", "shard", "k", "given", "held", "id", "fp"]
+    # Ids need not be unique; keys are, once written.
+    pool = written(pool.select("plan_id", "id", "fp", F.monotonically_increasing_id().alias("key")), "pool")
+    names, done = ["plan_id", "bucket", "key", "id", "fp"], []
     while True:
+        # As many rows as there are plans.
+        held = {r[0]: r[1] for r in pool.groupBy("plan_id").count().collect()}
         # Each bucket of several gives at most a quarter of what it holds on average, so the pools shrink.
-        n = F.greatest(F.lit(1), F.ceil(F.col("held") / F.greatest(F.lit(BUCKET), 4 * F.col("k"))).cast("int"))
-        last = (pool.agg(F.max(n)).first()[0] or 1) == 1
-        chosen = pool.withColumn("bucket", F.pmod(F.xxhash64("id", n), n)).groupBy("plan_id", "shard", "bucket").applyInPandas(lambda pdf: _choose(pdf)[[*names, "place"]], schema)
-        if last:
-            return chosen.select("plan_id", (F.col("given") + F.col("place")).alias("place"), "id")
-        left = written(chosen.select(*names), "pool")
-        # As many rows as there are shards.
-        sizes = left.groupBy("plan_id", "shard").agg(F.count("*").alias("held"))
-        pool = left.drop("held").join(F.broadcast(sizes), ["plan_id", "shard"])
+        cut = [(p, k, max(1, -(-held[p] // max(BUCKET, 4 * k)))) for p, _, k in plans if p in held]
+        table = F.broadcast(spark.createDataFrame(cut, "plan_id int, k int, buckets int"))
+        bucket = F.pmod(F.xxhash64("id", "buckets"), F.col("buckets")).cast("int")
+        placed = pool.join(table, "plan_id").withColumn("bucket", bucket)
+
+        def chosen(last: bool) -> DataFrame | None:
+            """What the plans choose whose last pool this is, or the other plans."""
+            of = [k for _, k, n in cut if (n == 1) == last]
+            rows, found = placed.filter("buckets = 1" if last else "buckets > 1"), []
+            if any(k <= PLACES for k in of):
+                small = rows.filter(F.col("k") <= PLACES).groupBy("plan_id", "bucket")
+                found.append(small.applyInPandas(lambda pdf: _choose(pdf)[[*names, "place"]], _CHOSEN))
+            if any(k > PLACES for k in of):
+                found.append(_in_rounds(rows.filter(F.col("k") > PLACES).select("k", *names)))
+            return reduce(DataFrame.unionByName, found) if found else None
+
+        final, more = chosen(True), chosen(False)
+        if final is not None:
+            done.append(final.select("plan_id", "place", "id"))
+        if more is None:
+            break
+        pool = written(more.select("plan_id", "id", "fp", "key"), "pool")
+    return reduce(DataFrame.unionAll, done) if done else spark.createDataFrame([], "plan_id int, place int, id bigint")
 
 
 def filled_subsets(chosen: DataFrame, plan: DataFrame, df: DataFrame, id_col: str = "mol_id", text_col: str = "smiles", source_col: str = "source") -> DataFrame:

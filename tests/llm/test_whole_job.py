@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 
-from retort.llm import leaks
+from retort.llm import leaks, variety
 from retort.llm import queries as llm
 
 
@@ -36,6 +37,33 @@ def test_subset_of_copies_is_filled(spark, tmp_path):
     assert sorted(copies) == [2] * 15 + [3] * 10 and {i % 25 for p, i in got[1].items() if p <= 25} == set(range(25))
 
 
+def test_subset_of_many_places_is_one_choice(spark, monkeypatch):
+    """A plan of more places than one task gives is still chosen among all pooled candidates: the choice of one task, not a choice for each part of the candidates."""
+    rng = np.random.default_rng(1)
+    sizes = [300] + [3] * 11
+    words = np.repeat(rng.integers(0, 1 << 63, (12, 32), dtype=np.uint64), sizes, 0)
+    words[:, 0] ^= np.uint64(1) << rng.integers(0, 60, len(words), dtype=np.uint64)
+    kind = np.repeat(np.arange(12), sizes)
+    rows = [(i, "b" if i % 3 else "a", str(i), w.tobytes()) for i, w in enumerate(words)]
+    cand = spark.createDataFrame(rows, "id bigint, source string, text string, fp binary")
+    # The third plan takes all it can get, the last one stays below the places of a task.
+    plan = spark.createDataFrame([(1, None, 12), (2, "b", 40), (3, "a", 500), (4, "a", 3), (None, "a", 9)], "plan_id int, source string, subset_size int")
+    monkeypatch.setattr(variety, "BLOCK", 50, raising=False)
+    got = {}
+    for bucket in (20_000, 40):
+        monkeypatch.setattr(variety, "BUCKET", bucket)
+        for places in (10_000, 4):
+            monkeypatch.setattr(variety, "PLACES", places)
+            found = {1: [], 2: [], 3: [], 4: []}
+            for r in variety.varied_subsets(cand, plan).orderBy("plan_id", "place").collect():
+                found[r.plan_id].append(r.id)
+                assert r.place == len(found[r.plan_id])
+            assert set(kind[found[1]]) == set(range(12)) and sorted(found.pop(3)) == list(range(0, len(rows), 3))
+            got[bucket, places] = found
+        assert got[bucket, 10_000] == got[bucket, 4]
+    assert got[20_000, 4][1] == variety.farthest_first(words, np.arange(len(words)), 12)
+
+
 @pytest.mark.parametrize("name", sorted(llm.SQL))
 def test_queries_against_sql(spark, data, name):
     con = duckdb.connect()
