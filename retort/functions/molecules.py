@@ -229,12 +229,14 @@ def _profile_udf(fields: tuple[str, ...]):
     schema = T.StructType([T.StructField("valid", BOOL), *[T.StructField(f, FIELDS[f].kind) for f in fields]])
 
     def run(texts: pa.Array) -> pa.Array:
+        # Equal texts of a batch are computed once.
+        coded = texts.dictionary_encode()
         columns: list[list] = [[] for _ in schema]
-        for m in map(molecule, texts.to_pylist()):
+        for m in map(molecule, coded.dictionary.to_pylist()):
             columns[0].append(m is not None)
             for values, f in zip(columns[1:], fields, strict=True):
                 values.append(None if m is None else FIELDS[f].make(m))
-        return pa.StructArray.from_arrays([pa.array(v, _ARROW[s.dataType]) for v, s in zip(columns, schema, strict=True)], schema.names)
+        return pa.StructArray.from_arrays([pa.array(v, _ARROW[s.dataType]).take(coded.indices) for v, s in zip(columns, schema, strict=True)], schema.names)
 
     # Not deterministic by declaration: a filter on the result must not be pushed below and run the UDF a second time.
     return arrow_udf(run, schema).asNondeterministic()
